@@ -2,25 +2,104 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import minhash, suffix_dedup
+from . import chat, common, minhash, packing, resharding, suffix_dedup
 from .common import table
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+def chat_digests(blocks: DataFrame) -> DataFrame:
+    """Read rendered blocks back, conversation by conversation in order of their blocks,
+    holding one block and the digests' states at a time."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, None
+
+        def row():
+            n, turns, loss_n, loss, size = held
+            return (key[0], n, turns.hexdigest(), loss_n, loss.hexdigest(), size)
+
+        for pdf in frames:
+            out = []
+            ids = [None if pd.isna(x) else int(x) for x in pdf["conv_id"].array]
+            for conv, formatted, spans in zip(ids, pdf["formatted"], pdf["loss"]):
+                if key != (conv,):
+                    if key is not None:
+                        out.append(row())
+                    key, held = (conv,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                for role, text in chat.read_turns(formatted):
+                    held[0] += 1
+                    held[1].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+                for s in spans:
+                    text = chat.unescape(formatted[s["start"] : s["end"]])
+                    held[2] += len(text)
+                    held[3].update(text.encode("utf-8", "surrogatepass"))
+                held[4] += len(formatted)
+            yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame([row()] if key is not None else [], columns=names)
+
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    ordered = blocks.repartition(common.n_partitions(blocks.sparkSession), "conv_id").sortWithinPartitions("conv_id", "block")
+    return ordered.select("conv_id", "formatted", "loss").mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+def turn_events(turns: DataFrame) -> DataFrame:
+    """Each row (conv_id, turn, role, text) as a message event; rows that share a turn
+    are messages of their own, in order of role and text."""
+    again = F.row_number().over(Window.partitionBy("conv_id", "turn", "role", "text").orderBy(F.lit(0)))
+    name = F.concat_ws("/", F.lpad(F.coalesce(F.col("turn"), F.lit(-1)).cast("string"), 20, "0"), F.coalesce("role", F.lit("")), F.sha2(F.coalesce("text", F.lit("")), 256), again.cast("string"))
+    return turns.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("event"), name.alias("message_id"), "role", "text")
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat_digests(chat.format_chats(turn_events(turns)))
+
+
+def op7_min_cost_flow_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The old layout deals documents to 32 shards by a hash of their doc_id."""
+    old = F.pmod(F.xxhash64("doc_id"), F.lit(resharding.OLD_SHARDS))
+    placed, moves = resharding.reshard(table(spark, sf_dir, "documents"), old)
+    path = common.scratch_dir(spark)
+    affected = resharding.rewrite(placed, moves, path)
+    written = spark.read.schema("doc_id long, text string, size long, slot long, shard int").parquet(path) if affected else placed.where("false").drop("old_shard")
+    kept = placed.where(~F.col("shard").isin(affected)).drop("old_shard")
+    text = F.coalesce("text", F.lit(""))
+    return written.unionByName(kept).select(
+        "doc_id",
+        (F.octet_length(text) + resharding.OVERHEAD).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        F.col("slot").cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_suffix_dedup, op10_minhash_near_dedup)}
+    found = (op2_best_fit_packing, op4_suffix_dedup, op6_chat_formatting, op7_min_cost_flow_sharding, op10_minhash_near_dedup)
+    return {f.__name__: f for f in found}
+
+
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def oracle_sql() -> dict[str, str]:
