@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, common, minhash, packing, resharding, suffix_dedup
+from . import chat, common, decontamination, minhash, packing, resharding, suffix_dedup, toxicity
 from .common import table
 
 
@@ -93,14 +93,33 @@ def op7_min_cost_flow_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def queries() -> dict:
-    found = (op2_best_fit_packing, op4_suffix_dedup, op6_chat_formatting, op7_min_cost_flow_sharding, op10_minhash_near_dedup)
-    return {f.__name__: f for f in found}
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item that contaminates it."""
+    return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("k")
+
+
+def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the chain's probabilities and its verdict."""
+    out = toxicity.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "p_low_quality", "p_toxic", "toxic")
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def queries() -> dict:
+    found = (
+        op2_best_fit_packing,
+        op4_suffix_dedup,
+        op6_chat_formatting,
+        op7_min_cost_flow_sharding,
+        op8_benchmark_decontamination,
+        op9_toxicity_chain,
+        op10_minhash_near_dedup,
+    )
+    return {f.__name__: f for f in found}
+
+
 def oracle_sql() -> dict[str, str]:
     return {}
