@@ -9,20 +9,49 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import chat, common, decontamination, minhash, packing, resharding, suffix_dedup, toxicity
+from . import chat, common, decontamination, fingerprint, minhash, packing, pii, resharding, suffix_dedup, toxicity, url_filter
 from .common import table
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = fingerprint.with_next(fingerprint.fingerprints(docs), ("text", "signature"))
+    found = found.withColumn("edited", fingerprint.edited(F.col("text"), F.col("next_text")))
+    found = found.withColumn("edited_signature", fingerprint.signature(F.col("edited")))
+    return found.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprint.shown(F.col("signature")).alias("fingerprint"),
+        fingerprint.shown(F.col("edited_signature")).alias("edited_fingerprint"),
+        fingerprint.likeness(F.col("signature"), F.col("edited_signature")).alias("near_edited"),
+        fingerprint.likeness(F.col("signature"), F.col("next_signature")).alias("near_next"),
+    )
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii")
+    base = [k.name for k in pii.KINDS if k.base]
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    of = lambda *names: F.filter("pii", lambda s: s["kind"].isin(*names))
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in base]
+    return found.select("doc_id", *counts, F.sha2(joined(of(*base)), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
+
+
 def chat_digests(blocks: DataFrame) -> DataFrame:
     """Read rendered blocks back, conversation by conversation in order of their blocks,
     holding one block and the digests' states at a time."""
@@ -110,8 +139,11 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     found = (
+        op1_url_filters,
         op2_best_fit_packing,
+        op3_order_minhash,
         op4_suffix_dedup,
+        op5_pii,
         op6_chat_formatting,
         op7_min_cost_flow_sharding,
         op8_benchmark_decontamination,
@@ -122,4 +154,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_url_filters": url_filter.oracle_sql()}
