@@ -108,24 +108,25 @@ def spans_of(text: Column, kind: Kind) -> Column:
     return F.when(possible, walked).otherwise(none)
 
 
-def find_pii(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
-    """The columns of ``docs`` and ``pii``: array<struct<start, end, kind, score>> by
+def find_pii(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, column: str = "pii") -> DataFrame:
+    """The columns of ``docs`` and ``column``: array<struct<start, end, kind, score>> by
     start, then in the order of ``kinds``, in code points with the end exclusive.
 
-    Null and empty texts have no spans. An existing column ``pii`` is replaced.
+    Null and empty texts have no spans. An existing column of that name is replaced.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.withColumn("pii", F.concat(*(spans_of(text, k) for k in kinds)))
+    found = docs.withColumn(column, F.concat(*(spans_of(text, k) for k in kinds)))
     rank = {k.name: i for i, k in enumerate(kinds)}
     ranks = F.create_map(*(F.lit(x) for k, i in rank.items() for x in (k, i)))
-    keyed = F.transform("pii", lambda s: F.struct(s["start"].alias("start"), F.element_at(ranks, s["kind"]).alias("rank"), s.alias("span")))
-    return found.withColumn("pii", F.transform(F.array_sort(keyed), lambda s: s["span"]))
+    keyed = F.transform(column, lambda s: F.struct(s["start"].alias("start"), F.element_at(ranks, s["kind"]).alias("rank"), s.alias("span")))
+    return found.withColumn(column, F.transform(F.array_sort(keyed), lambda s: s["span"]))
 
 
 def redact(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
-    """``docs`` with every span of ``pii`` in the text replaced by ``<kind>``; spans that
+    """``docs`` with every span that is found in the text replaced by ``<kind>``; spans that
     overlap become one, named after the first. Null texts stay null."""
-    found = find_pii(docs, kinds)
+    spans = "_pii_spans"
+    found = find_pii(docs, kinds, spans)
     text = F.col("text")
 
     def step(state: Column, span: Column) -> Column:
@@ -135,5 +136,5 @@ def redact(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
         return F.struct(F.greatest(state["at"], span["end"]).alias("at"), parts.alias("parts"))
 
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("parts"))
-    clean = F.aggregate("pii", start, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substr(text, s["at"] + 1)))
-    return found.withColumn("text", F.when(F.size("pii") > 0, clean).otherwise(text)).drop("pii")
+    clean = F.aggregate(spans, start, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substr(text, s["at"] + 1)))
+    return found.withColumn("text", F.when(F.size(spans) > 0, clean).otherwise(text)).drop(spans)

@@ -3,8 +3,9 @@
 The labelled categories are predicted one after the other by linear models. A later model
 also sees the earlier categories' log-odds: out-of-fold predictions while it is trained,
 so that it learns how far to trust them, and the final models' predictions when texts are
-scored. Inputs are the presence of words (hashed, the most telling ones chosen anew in
-each training set) and a few shares of the whole text.
+scored. Inputs are a few shares of the whole text and marks: that a word or the beginning
+of a word occurs, and that it is frequent (twice or more and a hundredth of the words).
+Marks are hashed, and the most telling ones are chosen anew in each training set.
 
 Models are fitted on the driver on at most ``SAMPLE`` labelled documents, those with the
 least hash of their doc_id; scoring reads every text once, whole.
@@ -25,10 +26,10 @@ from .common import U64
 
 SAMPLE = 6000
 FOLDS = 5
-N_WORDS = 200
-BITS = 18
+N_MARKS = 200
+BEGINNINGS = (5, 7)
+BITS = 20
 THRESHOLD = 0.5
-SHARES = 5
 
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
@@ -39,24 +40,32 @@ _DIGIT[48:58] = True
 
 
 def features(values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, word) pairs as two arrays, each once, and the shares of every text."""
+    """(text, mark) pairs as two arrays, each once, and the shares of every text."""
     t = words.tokenize(values)
     n = np.diff(t.at)
     doc = np.repeat(np.arange(len(values)), n)
-    word = (t.hash >> U64(64 - BITS)).astype(np.int64)
-    pairs = np.unique(doc * (1 << BITS) + word)
-    doc, word = pairs >> BITS, pairs & ((1 << BITS) - 1)
+    prefix = common.prefix_hash(t.lower)
+    docs, marks = [doc], [t.hash]
+    for size in BEGINNINGS:
+        long = t.end - t.start > size
+        docs.append(doc[long])
+        marks.append(common.span_hash(prefix, t.start[long], t.start[long] + size) + U64(size))
+    hashed = (common.mix(np.concatenate(marks)) >> U64(65 - BITS)).astype(np.int64)
+    pairs, count = np.unique(np.concatenate(docs) * (1 << BITS) + 2 * hashed, return_counts=True)
+    often = (count > 1) & (100 * count >= n[pairs >> BITS])
+    pairs = np.sort(np.concatenate([pairs, pairs[often] + 1]))
     begin = np.cumsum([0] + [len(v) + 1 for v in values[:-1]])
     size = np.maximum(np.array([len(v) for v in values]), 1)
     shares = [np.log1p(n)]
     shares += [np.add.reduceat(flag[t.data].astype(np.int64), begin) / size for flag in (_UPPER, _SYMBOL, _DIGIT)]
-    shares.append(np.bincount(doc, minlength=len(values)) / np.maximum(n, 1))
-    return doc, word, np.stack(shares, 1)
+    distinct = np.unique(doc * (1 << BITS) + (t.hash >> U64(64 - BITS)).astype(np.int64)) >> BITS
+    shares.append(np.bincount(distinct, minlength=len(values)) / np.maximum(n, 1))
+    return pairs >> BITS, pairs & ((1 << BITS) - 1), np.stack(shares, 1)
 
 
 @dataclass
 class Linear:
-    """Log-odds linear in the presence of chosen words, shares and earlier log-odds."""
+    """Log-odds linear in the presence of chosen marks, shares and earlier log-odds."""
 
     chosen: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     mean: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -64,37 +73,37 @@ class Linear:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bias: float = 0.0
 
-    def inputs(self, n: int, doc: np.ndarray, word: np.ndarray, dense: np.ndarray) -> np.ndarray:
+    def inputs(self, n: int, doc: np.ndarray, mark: np.ndarray, dense: np.ndarray) -> np.ndarray:
         x = np.zeros((n, len(self.chosen)))
         if len(self.chosen):
-            slot = np.minimum(np.searchsorted(self.chosen, word), len(self.chosen) - 1)
-            there = self.chosen[slot] == word
+            slot = np.minimum(np.searchsorted(self.chosen, mark), len(self.chosen) - 1)
+            there = self.chosen[slot] == mark
             x[doc[there], slot[there]] = 1
         return np.concatenate([x, (dense - self.mean) / self.scale], 1)
 
-    def log_odds(self, n: int, doc: np.ndarray, word: np.ndarray, dense: np.ndarray) -> np.ndarray:
+    def log_odds(self, n: int, doc: np.ndarray, mark: np.ndarray, dense: np.ndarray) -> np.ndarray:
         if not len(self.weights):
             return np.full(n, self.bias)
-        return self.inputs(n, doc, word, dense) @ self.weights + self.bias
+        return self.inputs(n, doc, mark, dense) @ self.weights + self.bias
 
 
-def fit_linear(n: int, doc: np.ndarray, word: np.ndarray, dense: np.ndarray, y: np.ndarray, use: np.ndarray, n_words: int = N_WORDS, ridge: float = 1.0) -> Linear:
+def fit_linear(n: int, doc: np.ndarray, mark: np.ndarray, dense: np.ndarray, y: np.ndarray, use: np.ndarray, n_marks: int = N_MARKS, ridge: float = 0.3) -> Linear:
     """Ridge logistic regression on the rows ``use``, by Newton steps."""
     rows = np.flatnonzero(use)
     pos, neg = int(y[rows].sum()), int(len(rows) - y[rows].sum())
     if not pos or not neg:
         return Linear(bias=float(np.log((pos + 0.5) / (neg + 0.5))))
     inside = use[doc]
-    yes = np.bincount(word[inside & (y[doc] > 0)], minlength=1 << BITS)
-    no = np.bincount(word[inside & (y[doc] == 0)], minlength=1 << BITS)
+    yes = np.bincount(mark[inside & (y[doc] > 0)], minlength=1 << BITS)
+    no = np.bincount(mark[inside & (y[doc] == 0)], minlength=1 << BITS)
     share_yes, share_no = (yes + 0.5) / (pos + 1), (no + 0.5) / (neg + 1)
     both = (yes + no + 1) / (pos + neg + 2)
     z = np.abs(share_yes - share_no) / np.sqrt(both * (1 - both).clip(1e-9) * (1 / pos + 1 / neg))
     z[yes + no < 3] = 0
-    chosen = np.sort(np.argsort(-z, kind="stable")[:n_words])
+    chosen = np.sort(np.argsort(-z, kind="stable")[:n_marks])
     chosen = chosen[z[chosen] > 3]
     model = Linear(chosen, dense[rows].mean(0), dense[rows].std(0) + 1e-9)
-    x = model.inputs(n, doc, word, dense)[rows]
+    x = model.inputs(n, doc, mark, dense)[rows]
     x1 = np.concatenate([x, np.ones((len(rows), 1))], 1)
     target, w = y[rows].astype(float), np.zeros(x1.shape[1])
     w[-1] = np.log(pos / neg)
@@ -110,25 +119,25 @@ def fit_linear(n: int, doc: np.ndarray, word: np.ndarray, dense: np.ndarray, y:
     return model
 
 
-def fit_chain(doc: np.ndarray, word: np.ndarray, dense: np.ndarray, labels: np.ndarray, fold: np.ndarray, folds: int = FOLDS) -> list[Linear]:
+def fit_chain(doc: np.ndarray, mark: np.ndarray, dense: np.ndarray, labels: np.ndarray, fold: np.ndarray, folds: int = FOLDS) -> list[Linear]:
     """One model for each column of ``labels``, in order."""
     n, models = len(labels), []
     for k in range(labels.shape[1]):
         y = labels[:, k]
-        models.append(fit_linear(n, doc, word, dense, y, np.ones(n, bool)))
+        models.append(fit_linear(n, doc, mark, dense, y, np.ones(n, bool)))
         held_out = np.zeros(n)
         for f in range(folds if k < labels.shape[1] - 1 else 0):
-            part = fit_linear(n, doc, word, dense, y, fold != f)
-            held_out[fold == f] = part.log_odds(n, doc, word, dense)[fold == f]
+            part = fit_linear(n, doc, mark, dense, y, fold != f)
+            held_out[fold == f] = part.log_odds(n, doc, mark, dense)[fold == f]
         dense = np.concatenate([dense, held_out.clip(-8, 8)[:, None]], 1)
     return models
 
 
 def probabilities(models: list[Linear], values: list[bytes]) -> np.ndarray:
-    doc, word, dense = features(values)
+    doc, mark, dense = features(values)
     empty, out = dense[:, 0] == 0, []
     for model in models:
-        odds = model.log_odds(len(values), doc, word, dense)
+        odds = model.log_odds(len(values), doc, mark, dense)
         out.append(np.where(empty, 0.0, 1 / (1 + np.exp(-np.clip(odds, -30, 30)))))
         dense = np.concatenate([dense, odds.clip(-8, 8)[:, None]], 1)
     return np.stack(out, 1)
@@ -146,18 +155,18 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], sampl
         for pdf in frames:
             values = [common.utf8(t) for t in pdf["text"]]
             for lo, hi in common.batches_by_bytes(values):
-                doc, word, dense = features(values[lo:hi])
+                doc, mark, dense = features(values[lo:hi])
                 cut = np.searchsorted(doc, np.arange(1, hi - lo))
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[lo:hi].to_numpy(), "words": np.split(word.astype(np.int32), cut), "shares": list(dense), **{c: pdf[c].iloc[lo:hi].to_numpy() for c in names}})
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[lo:hi].to_numpy(), "marks": np.split(mark.astype(np.int32), cut), "shares": list(dense), **{c: pdf[c].iloc[lo:hi].to_numpy() for c in names}})
 
-    schema = "doc_id long, words array<int>, shares array<double>" + "".join(f", `{c}` int" for c in names)
+    schema = "doc_id long, marks array<int>, shares array<double>" + "".join(f", `{c}` int" for c in names)
     got = rows.mapInPandas(run, schema).toPandas().sort_values("doc_id")
     if not len(got):
         return [Linear(bias=-30.0) for _ in categories]
-    doc = np.repeat(np.arange(len(got)), [len(w) for w in got["words"]])
-    word = np.concatenate(list(got["words"])).astype(np.int64)
+    doc = np.repeat(np.arange(len(got)), [len(w) for w in got["marks"]])
+    mark = np.concatenate(list(got["marks"])).astype(np.int64)
     fold = (common.mix(got["doc_id"].to_numpy(np.int64).view(U64)) % U64(folds)).astype(int)
-    return fit_chain(doc, word, np.stack(list(got["shares"])), got[names].to_numpy(int), fold, folds)
+    return fit_chain(doc, mark, np.stack(list(got["shares"])), got[names].to_numpy(int), fold, folds)
 
 
 def score(docs: DataFrame, models: list[Linear], categories: tuple[str, ...]) -> DataFrame:

@@ -26,10 +26,11 @@ class Tokens(NamedTuple):
     points or commas between digits) of texts joined by a newline each."""
 
     data: np.ndarray  # the joined bytes
+    lower: np.ndarray  # the same, A-Z and the Latin-1 capitals lower-cased
     start: np.ndarray
     end: np.ndarray
     at: np.ndarray  # where each text's tokens begin; one more than texts
-    hash: np.ndarray  # of the token, A-Z and the Latin-1 capitals lower-cased
+    hash: np.ndarray  # of the token in lower case
     number: np.ndarray
     capital: np.ndarray
     opens: np.ndarray  # first of its text, or after . ! ? : ; or a line's end
@@ -60,7 +61,7 @@ def tokenize(values: Sequence[bytes]) -> Tokens:
     opens = np.ones(len(start), bool)
     if len(start) > 1:
         opens[1:] = ends[start[1:]] > ends[end[:-1] - 1]
-    return Tokens(data, start, end, at, hashes, own == _DIGIT, capital, opens)
+    return Tokens(data, lower, start, end, at, hashes, own == _DIGIT, capital, opens)
 
 
 def hash_word(word: str) -> U64:
