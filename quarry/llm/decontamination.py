@@ -90,6 +90,8 @@ def windows(texts: DataFrame, window: int, sizes: list[int] | None = None, wante
                 if not first:
                     continue
                 first, size, hashes = map(np.concatenate, (first, size, hashes))
+                if not len(first):
+                    continue
                 slots = []
                 for s, w in zip(first.tolist(), size.tolist()):
                     held = np.flatnonzero(kind[s : s + w])
