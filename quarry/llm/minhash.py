@@ -190,7 +190,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, side: int = SIDE, rows:
     groups = common.connected_components(candidate_links(sets)).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
     sizes = groups.groupBy("grp").agg(F.count("*").alias("n"))
     texts = docs.select(F.col("doc_id").alias("rep"), "text").where("doc_id is not null")
-    members = texts.join(groups.join(sizes, "grp"), "rep")
+    # A sort-merge join at every size: texts move once, in proportion to the input.
+    members = texts.hint("merge").join(groups.join(sizes, "grp"), "rep")
     links = verified_links(members, percent, shingle)
     classes = common.stage(common.connected_components(links))
     named = sets.select("s1", "s2", "rep").join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
