@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def norm(vector: Column) -> Column:
@@ -28,11 +29,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (sizes > 0), dot(a, b) / F.when(sizes > 0, sizes).otherwise(1.0)).otherwise(0.0)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def pack(vectors: pd.Series) -> pd.Series:
     return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def unpack(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else np.frombuffer(bytes(v), "<f4", len(v) // 4))

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions import text, vectors
 from quarry.operators.query import FIELDS, Phrase, parse
@@ -19,7 +20,7 @@ from quarry.schemas import B, FALLBACK_LENGTH, FIELD_WEIGHTS, K1, LIMIT, RRF_K,
 RESULT = ("docid", "path", "title", "context")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _stems(tokens: pd.Series) -> pd.Series:
     known: dict[str, str] = {}
 
