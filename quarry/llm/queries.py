@@ -154,4 +154,14 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": url_filter.oracle_sql()}
+    escaped = "replace({}, '\\', '\\\\')"
+    for c in chat.CONTROLS:
+        escaped = f"replace({escaped}, '{c}', '{c[0]}\\{c[1:]}')"
+    chats = f"""
+with turns as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+digests as (select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text) as said,
+  coalesce(string_agg(text, '' order by turn, text) filter (where role = 'assistant'), '') as loss,
+  sum(length('<s>[INST]</s>') + length({escaped.format("role")}) + length({escaped.format("text")})) as size from turns group by conv_id)
+select conv_id, n_turns, sha256(said) as turns_sha256, cast(length(loss) as bigint) as loss_chars, sha256(loss) as loss_sha256, cast(size as bigint) as formatted_chars from digests"""
+    return {"op1_url_filters": url_filter.oracle_sql(), "op6_chat_formatting": chats}

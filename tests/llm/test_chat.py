@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import duckdb
+
 from quarry.llm import chat, queries
 
 SCHEMA = "conv_id long, seq long, event string, message_id string, role string, text string"
@@ -54,5 +56,12 @@ def test_registered_query_keeps_every_conversation(spark):
     assert got == brute(rows)
 
 
+def test_oracle(spark):
+    sf = "/root/testdata/sf0.01"
+    duckdb.sql(f"create or replace view conversations as select * from '{sf}/conversations.parquet'")
+    sql = sorted(duckdb.sql(queries.oracle_sql()["op6_chat_formatting"]).fetchall())
+    assert sorted(map(tuple, queries.op6_chat_formatting(spark, sf).collect())) == sql
+
+
 def test_empty(spark):
     assert chat.format_chats(spark.createDataFrame([], SCHEMA)).collect() == []
