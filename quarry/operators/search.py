@@ -6,7 +6,7 @@ doc_len and content. Results have rank (from 0), docid, path, title, context and
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -60,8 +60,12 @@ def phrase_hits(tokens: Column, phrase: Phrase) -> Column:
 
         return F.size(F.filter(own, here))
 
-    # Bound by a lambda, the tokens are computed once a row and not at each place.
-    return F.transform(F.array(tokens), count)[0]
+    return _bound(tokens, count)
+
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.transform(F.array(value), lambda x: body(x))[0]
 
 
 def _scored(docs: DataFrame, phrases: Sequence[Phrase], stemmed: bool) -> tuple[DataFrame, dict]:
@@ -71,11 +75,25 @@ def _scored(docs: DataFrame, phrases: Sequence[Phrase], stemmed: bool) -> tuple[
     N, rows n with the phrase in an allowed field, mean tokens of a row. The mean length
     of the later correction covers active documents that have one.
     """
-    docs = with_tokens(docs, stemmed).withColumn("tokens", sum((F.size(f"t_{f}") for f in FIELDS), F.lit(0)))
-    for i, phrase in enumerate(phrases):
-        hits = {f: phrase_hits(F.col(f"t_{f}"), phrase) for f in FIELDS if phrase.field in (None, f)}
-        docs = docs.withColumn(f"any{i}", sum(hits.values(), F.lit(0))).withColumn(f"f{i}", sum((FIELD_WEIGHTS[f] * h for f, h in hits.items()), F.lit(0.0)))
+    docs = with_tokens(docs, stemmed)
+
+    def counts(row: Column) -> Column:
+        """Tokens and, for each phrase, hits and weighted hits, from tokens bound once."""
+        out = [sum((F.size(row[f]) for f in FIELDS), F.lit(0)).alias("tokens")]
+        for i, phrase in enumerate(phrases):
+            fields = [f for f in FIELDS if phrase.field in (None, f)]
+            weighted = lambda h, fields=tuple(fields): F.struct(
+                sum((h[k] for k in range(len(fields))), F.lit(0)).alias("any"), sum((FIELD_WEIGHTS[f] * h[k] for k, f in enumerate(fields)), F.lit(0.0)).alias("f")
+            )
+            hits = F.array(*(phrase_hits(row[f], phrase) for f in fields))
+            out.append(_bound(hits, weighted).alias(f"p{i}"))
+        return F.struct(*out)
+
+    docs = docs.withColumn("hit", _bound(F.struct(*(F.col(f"t_{f}").alias(f) for f in FIELDS)), counts))
     docs = docs.drop(*(f"t_{f}" for f in FIELDS), "content")
+    for i in range(len(phrases)):
+        docs = docs.withColumn(f"any{i}", F.col(f"hit.p{i}.any")).withColumn(f"f{i}", F.col(f"hit.p{i}.f"))
+    docs = docs.withColumn("tokens", F.col("hit.tokens")).drop("hit")
     stats = docs.agg(
         F.count("*").alias("rows"),
         F.avg("tokens").alias("tokens"),
