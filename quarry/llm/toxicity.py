@@ -27,6 +27,7 @@ from .common import U64
 SAMPLE = 6000
 FOLDS = 5
 N_MARKS = 200
+RARE = 3
 BEGINNINGS = (5, 7)
 BITS = 20
 THRESHOLD = 0.5
@@ -75,9 +76,11 @@ class Linear:
 
     def inputs(self, n: int, doc: np.ndarray, mark: np.ndarray, dense: np.ndarray) -> np.ndarray:
         x = np.zeros((n, len(self.chosen)))
-        if len(self.chosen):
-            slot = np.minimum(np.searchsorted(self.chosen, mark), len(self.chosen) - 1)
-            there = self.chosen[slot] == mark
+        if len(self.chosen) and len(mark):
+            column = np.full(max(int(mark.max()), int(self.chosen[-1])) + 1, -1, np.int16)
+            column[self.chosen] = np.arange(len(self.chosen))
+            slot = column[mark]
+            there = slot >= 0
             x[doc[there], slot[there]] = 1
         return np.concatenate([x, (dense - self.mean) / self.scale], 1)
 
@@ -93,13 +96,13 @@ def fit_linear(n: int, doc: np.ndarray, mark: np.ndarray, dense: np.ndarray, y:
     pos, neg = int(y[rows].sum()), int(len(rows) - y[rows].sum())
     if not pos or not neg:
         return Linear(bias=float(np.log((pos + 0.5) / (neg + 0.5))))
-    inside = use[doc]
-    yes = np.bincount(mark[inside & (y[doc] > 0)], minlength=1 << BITS)
-    no = np.bincount(mark[inside & (y[doc] == 0)], minlength=1 << BITS)
+    size = int(mark.max(initial=0)) + 1
+    yes = np.bincount(mark[(use & (y > 0))[doc]], minlength=size)
+    no = np.bincount(mark[(use & (y == 0))[doc]], minlength=size)
     share_yes, share_no = (yes + 0.5) / (pos + 1), (no + 0.5) / (neg + 1)
     both = (yes + no + 1) / (pos + neg + 2)
     z = np.abs(share_yes - share_no) / np.sqrt(both * (1 - both).clip(1e-9) * (1 / pos + 1 / neg))
-    z[yes + no < 3] = 0
+    z[yes + no < RARE] = 0
     chosen = np.sort(np.argsort(-z, kind="stable")[:n_marks])
     chosen = chosen[z[chosen] > 3]
     model = Linear(chosen, dense[rows].mean(0), dense[rows].std(0) + 1e-9)
@@ -163,10 +166,23 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], sampl
     got = rows.mapInPandas(run, schema).toPandas().sort_values("doc_id")
     if not len(got):
         return [Linear(bias=-30.0) for _ in categories]
-    doc = np.repeat(np.arange(len(got)), [len(w) for w in got["marks"]])
-    mark = np.concatenate(list(got["marks"])).astype(np.int64)
+    # Marks are numbered anew, without those too rare to be chosen: the driver then holds
+    # 8 bytes for each mark of the sample and little more.
+    count = np.zeros(1 << BITS, np.int32)
+    for own in got["marks"]:
+        count[own] += 1
+    present = np.flatnonzero(count >= RARE)
+    number = np.full(1 << BITS, -1, np.int32)
+    number[present] = np.arange(len(present), dtype=np.int32)
+    kept = [own[own >= 0] for own in (number[own] for own in got["marks"])]
     fold = (common.mix(got["doc_id"].to_numpy(np.int64).view(U64)) % U64(folds)).astype(int)
-    return fit_chain(doc, mark, np.stack(list(got["shares"])), got[names].to_numpy(int), fold, folds)
+    dense, wanted = np.stack(list(got["shares"])), got[names].to_numpy(int)
+    del got
+    doc = np.repeat(np.arange(len(kept), dtype=np.int32), [len(own) for own in kept])
+    models = fit_chain(doc, np.concatenate(kept), dense, wanted, fold, folds)
+    for model in models:
+        model.chosen = present[model.chosen]
+    return models
 
 
 def score(docs: DataFrame, models: list[Linear], categories: tuple[str, ...]) -> DataFrame:
