@@ -234,7 +234,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, memo
     """(doc_id, k, spans): for each text with repeated strings, pairs of byte offsets
     flattened to one array, not yet merged. ``docs``: doc_id, k (hash of text), text."""
     found = common.stage(anchors(docs, length, gram))
-    twice = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # Written first: both sides of the join are then plain shuffles, and the rows of a gram
+    # that is everywhere can be dealt to several tasks.
+    twice = common.stage(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     kept = common.stage(found.join(twice, "h", "left_semi"))
     common.drop_stage(found)
     named = kept.groupBy("h", "u").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "k", "x", "before", "after")).alias("at"))
