@@ -13,6 +13,8 @@ ordered by the k-mer's hash and then its number, so numbering needs no pass over
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +27,13 @@ LEAST = 256
 SHORT = 64
 
 
+_SPACE = " \t\n\x0b\x0c\r"
+
+
 def _tokens(text: Column) -> Column:
-    return F.filter(F.when(F.length(text) <= SHORT, F.split(text, "")).otherwise(F.split(text, r"[ \t-\r]+")), lambda w: w != "")
+    bare = F.trim(text, F.lit(_SPACE))
+    tokens = F.when(F.length(text) <= SHORT, F.split(text, "")).otherwise(F.split(bare, r"[ \t-\r]+"))
+    return F.when(F.length(F.when(F.length(text) <= SHORT, text).otherwise(bare)) > 0, tokens).otherwise(F.expr("cast(array() as array<string>)"))
 
 
 def _let(value: Column, body) -> Column:
@@ -37,26 +44,28 @@ def _let(value: Column, body) -> Column:
 def signature(text: Column) -> Column:
     """array<bigint>: a hash for each filled slot of a text that is not null, in order of
     the slots; empty for a text without tokens."""
-    return _let(_let(_tokens(text), _kmers), lambda h: _let(_least(h), _slots))
+    return _let(_least(_let(_tokens(text), _kmers)), _slots)
 
 
 def _kmers(t: Column) -> Column:
-    """Hashes of the k-mers in order; fewer tokens than ``K`` make one."""
-    rolled = F.zip_with(
-        F.zip_with(t, F.slice(t, F.lit(2), F.size(t)), lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
-        F.slice(t, F.lit(3), F.size(t)),
-        lambda ab, c: F.xxhash64(ab["a"], ab["b"], c),
-    )
-    return F.when(F.size(t) >= K, F.slice(rolled, F.lit(1), F.greatest(F.size(t) - K + 1, F.lit(0)))).when(F.size(t) > 0, F.array(F.xxhash64(F.array_join(t, " ")))).otherwise(F.expr("cast(array() as array<bigint>)"))
+    """(hash, place) of the k-mers that can be among the ``LEAST`` least, or of all;
+    fewer tokens than ``K`` make one. About four times as many as needed pass the bound
+    that is tried first."""
+    n = F.size(t)
+    bound = F.when(n > 4 * LEAST, (F.lit(-(2.0**63)) + F.lit(2.0**64) * (4.0 * LEAST) / n).cast("long")).otherwise(F.lit(2**63 - 1))
+
+    def sift(placed: Column) -> Column:
+        there = lambda x: x["at"] <= n - K
+        return _let(F.filter(placed, lambda x: there(x) & (x["h"] <= bound)), lambda low: F.when((F.size(low) >= LEAST) | (n <= 4 * LEAST), low).otherwise(F.filter(placed, there)))
+
+    every = F.transform(t, lambda x, i: F.struct(F.xxhash64(x, *(F.get(t, i + k) for k in range(1, K))).alias("h"), i.alias("at")))
+    one = F.array(F.struct(F.xxhash64(F.array_join(t, " ")).alias("h"), F.lit(0).alias("at")))
+    none = F.expr("cast(array() as array<struct<h: bigint, at: int>>)")
+    return F.when(n >= K, _let(every, sift)).when(n > 0, one).otherwise(none)
 
 
-def _least(hashes: Column) -> Column:
-    """The ``LEAST`` least (hash, place). About four times as many pass the bound that is
-    tried first; where too few do, all are sorted."""
-    bound = F.lit(-(2.0**63)) + F.lit(2.0**64) * (4.0 * LEAST) / F.size(hashes)
-    placed = F.transform(hashes, lambda x, i: F.struct(x.alias("h"), i.alias("at")))
-    low = F.filter(placed, lambda x: x["h"].cast("double") <= bound)
-    return _let(low, lambda l: F.slice(F.array_sort(F.when((F.size(l) >= LEAST) | (F.size(hashes) <= LEAST), l).otherwise(placed)), 1, LEAST))
+def _least(kmers: Column) -> Column:
+    return F.slice(F.array_sort(kmers), 1, LEAST)
 
 
 def _slots(least: Column) -> Column:
@@ -102,27 +111,29 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.withColumn("signature", signature(F.coalesce("text", F.lit(""))))
 
 
-def with_next(docs: DataFrame, columns: tuple[str, ...], parts: int | None = None) -> DataFrame:
-    """``docs`` and ``next_<column>`` of the row that follows in order of doc_id (then
-    text); the first row follows the last. Null doc_ids come first.
+def with_next(docs: DataFrame, columns: tuple[str, ...], parts: int | None = None, prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """``prepare(docs)`` and ``next_<column>`` of the row that follows in order of doc_id
+    (then text); the first row follows the last. Null doc_ids come first.
 
     Rows are dealt to ranges of doc_id between approximate quantiles, which are few
     numbers whatever the table's size; a row that ends its range takes the first row of
-    the next range that has one.
+    the next range that has one. ``prepare`` adds columns and runs once a row.
     """
-    spark = docs.sparkSession
-    parts = parts or common.n_partitions(spark)
+    parts = parts or common.n_partitions(docs.sparkSession)
     cuts = docs.agg(F.percentile_approx("doc_id", F.lit([i / parts for i in range(1, parts)] or [0.5]), 10_000)).first()[0] or []
     bounds = F.lit(sorted(set(cuts))) if cuts else F.expr("cast(array() as array<bigint>)")
-    docs = docs.withColumn("range", F.coalesce(F.size(F.filter(bounds, lambda b: b < F.col("doc_id"))), F.lit(-1)))
+    docs = docs.withColumn("range", F.when(F.col("doc_id").isNull(), -1).otherwise(F.size(F.filter(bounds, lambda b: b < F.col("doc_id")))))
     order = Window.partitionBy("range").orderBy("doc_id", "text")
     follower = F.struct(*(F.col(c) for c in columns))
-    near = docs.withColumn("next", F.lead(follower).over(order))
-    ends = docs.groupBy("range").agg(F.min(F.struct("doc_id", "text", *(c for c in columns if c != "text"))).alias("first"))
+    rows = prepare(docs)
+    near = rows.withColumn("next", F.lead(follower).over(order))
+    least = docs.groupBy("range").agg(F.min("doc_id").alias("_least"))
+    tied = docs.join(F.broadcast(least.withColumnRenamed("range", "_range")), (F.col("range") == F.col("_range")) & F.col("doc_id").eqNullSafe(F.col("_least")))
+    ends = tied.groupBy("range").agg(F.min(F.struct("doc_id", "text")).alias("first"))
     ends = ends.withColumn("before", F.coalesce(F.lag("range").over(Window.orderBy("range")), F.max("range").over(Window.partitionBy())))
-    ends = ends.select(F.col("before").alias("range"), F.struct(*(F.col(f"first.{c}") for c in columns)).alias("wrap"))
+    ends = prepare(ends.select("before", "first.*")).select(F.col("before").alias("range"), follower.alias("wrap"))
     out = near.join(F.broadcast(ends), "range", "left").withColumn("next", F.coalesce("next", "wrap"))
-    return out.select(*(c for c in docs.columns if c != "range"), *(F.col(f"next.{c}").alias(f"next_{c}") for c in columns))
+    return out.select(*(c for c in rows.columns if c != "range"), *(F.col(f"next.{c}").alias(f"next_{c}") for c in columns))
 
 
 def edited(text: Column, following: Column) -> Column:

@@ -23,7 +23,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = fingerprint.with_next(fingerprint.fingerprints(docs), ("text", "signature"))
+    found = fingerprint.with_next(docs, ("text", "signature"), prepare=fingerprint.fingerprints)
     found = found.withColumn("edited", fingerprint.edited(F.col("text"), F.col("next_text")))
     found = found.withColumn("edited_signature", fingerprint.signature(F.col("edited")))
     return found.select(
