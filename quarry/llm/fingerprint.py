@@ -7,8 +7,9 @@ back in the order of the text and hashed together. A signature is the filled slo
 hashes: two texts agree in a slot if they have the same least k-mers in the same order
 there, which an edit disturbs near its place only, while moving a passage changes orders.
 
-The least numbered k-mers of all slots are found from the ``LEAST`` least of the text,
-ordered by the k-mer's hash and then its number, so numbering needs no pass over the text.
+Every occurrence is numbered, by one sort of the text's k-mers. The selection tries the
+numbered k-mers below a bound that about ``LEAST`` pass; hashes of numbered k-mers are
+distinct, so nearly always every slot is full then. If one is not, all are looked at.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from . import common
 K = 3
 SLOTS = 32
 TUPLE = 2
-LEAST = 256
+LEAST = 512
 SHORT = 64
 
 
@@ -44,42 +45,46 @@ def _let(value: Column, body) -> Column:
 def signature(text: Column) -> Column:
     """array<bigint>: a hash for each filled slot of a text that is not null, in order of
     the slots; empty for a text without tokens."""
-    return _let(_least(_let(_tokens(text), _kmers)), _slots)
+    return _let(_let(_let(_tokens(text), _kmers), _numbered), _slots)
 
 
 def _kmers(t: Column) -> Column:
-    """(hash, place) of the k-mers that can be among the ``LEAST`` least, or of all;
-    fewer tokens than ``K`` make one. About four times as many as needed pass the bound
-    that is tried first."""
+    """(hash, place) of all k-mers, in order of their hashes, then places; fewer tokens
+    than ``K`` make one."""
     n = F.size(t)
-    bound = F.when(n > 4 * LEAST, (F.lit(-(2.0**63)) + F.lit(2.0**64) * (4.0 * LEAST) / n).cast("long")).otherwise(F.lit(2**63 - 1))
-
-    def sift(placed: Column) -> Column:
-        there = lambda x: x["at"] <= n - K
-        return _let(F.filter(placed, lambda x: there(x) & (x["h"] <= bound)), lambda low: F.when((F.size(low) >= LEAST) | (n <= 4 * LEAST), low).otherwise(F.filter(placed, there)))
-
-    every = F.transform(t, lambda x, i: F.struct(F.xxhash64(x, *(F.get(t, i + k) for k in range(1, K))).alias("h"), i.alias("at")))
+    every = F.transform(F.slice(t, F.lit(1), n - K + 1), lambda x, i: F.struct(F.xxhash64(x, *(F.get(t, i + k) for k in range(1, K))).alias("h"), i.alias("at")))
     one = F.array(F.struct(F.xxhash64(F.array_join(t, " ")).alias("h"), F.lit(0).alias("at")))
     none = F.expr("cast(array() as array<struct<h: bigint, at: int>>)")
-    return F.when(n >= K, _let(every, sift)).when(n > 0, one).otherwise(none)
+    return F.sort_array(F.when(n >= K, every).when(n > 0, one).otherwise(none))
 
 
-def _least(kmers: Column) -> Column:
-    return F.slice(F.array_sort(kmers), 1, LEAST)
+def _numbered(kmers: Column) -> Column:
+    """(id, place) of the sorted ``kmers``; the id is a hash of the k-mer and its number
+    among equal ones."""
 
+    def named(first: Column, number: Column, place: Column) -> Column:
+        return F.struct(F.xxhash64(F.get(kmers, first)["h"], number.cast("long")).alias("id"), F.get(kmers, place)["at"].alias("at"))
+
+    def rest(r: Column) -> Column:
+        return F.transform(F.sequence(r["first"] + 1, r["end"] - 1), lambda p: named(r["first"], p - r["first"] + 1, p))
+
+    def number(firsts: Column) -> Column:
+        runs = F.transform(firsts, lambda i, j: F.struct(i.alias("first"), F.coalesce(F.get(firsts, j + 1), F.size(kmers)).alias("end")))
+        again = F.flatten(F.transform(F.filter(runs, lambda r: r["end"] - r["first"] > 1), rest))
+        return F.concat(F.transform(firsts, lambda i: named(i, F.lit(1), i)), again)
+
+    new = F.transform(kmers, lambda x, i: F.when((i == 0) | (F.get(kmers, i - 1)["h"] != x["h"]), i))
+    return _let(F.filter(new, lambda i: i.isNotNull()), number)
 
-def _slots(least: Column) -> Column:
-    def named(hashes: Column) -> Column:
-        def one(x: Column, i: Column) -> Column:
-            again = (i > 0) & (F.get(hashes, i - 1) == x["h"])
-            number = F.when(again, i - F.array_position(hashes, x["h"]) + 2).otherwise(F.lit(1).cast("long"))
-            return F.struct(F.xxhash64(x["h"], number).alias("id"), i.alias("rank"), x["at"].alias("at"))
 
-        return F.transform(F.transform(least, one), lambda x: F.struct(F.pmod(x["id"], F.lit(SLOTS)).alias("slot"), x["rank"], x["id"], x["at"]))
+def _slots(ids: Column) -> Column:
+    n = F.size(ids)
+    bound = F.when(n > LEAST, (F.lit(-(2.0**63)) + F.lit(2.0**64) * float(LEAST) / n).cast("long")).otherwise(F.lit(2**63 - 1))
 
-    def select(ranked: Column) -> Column:
-        chosen = F.filter(ranked, lambda x, i: (i < TUPLE) | (F.get(ranked, i - TUPLE)["slot"] != x["slot"]))
-        return F.array_sort(F.transform(chosen, lambda x: F.struct(x["slot"].alias("slot"), x["at"].alias("at"), x["id"].alias("id"))))
+    def select(some: Column) -> Column:
+        """The ``TUPLE`` least of each slot."""
+        ranked = F.sort_array(F.transform(some, lambda x: F.struct(F.pmod(x["id"], F.lit(SLOTS)).alias("slot"), x["id"], x["at"])))
+        return _let(ranked, lambda r: F.filter(r, lambda x, i: (i < TUPLE) | (F.get(r, i - TUPLE)["slot"] != x["slot"])))
 
     def tuples(ordered: Column) -> Column:
         def one(x: Column, i: Column) -> Column:
@@ -89,8 +94,9 @@ def _slots(least: Column) -> Column:
 
         return F.filter(F.transform(ordered, one), lambda h: h.isNotNull())
 
-    ranked = _let(F.transform(least, lambda x: x["h"]), lambda h: F.array_sort(named(h)))
-    return _let(_let(ranked, select), tuples)
+    low = _let(F.filter(ids, lambda x: x["id"] <= bound), select)
+    chosen = _let(low, lambda c: F.when((F.size(c) == SLOTS * TUPLE) | (n <= LEAST), c).otherwise(select(ids)))
+    return _let(F.sort_array(F.transform(chosen, lambda x: F.struct(x["slot"], x["at"], x["id"]))), tuples)
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -40,6 +40,30 @@ def test_large_repetitive_text(spark):
     assert a and b
 
 
+def test_repetitive_text_keeps_its_likeness(spark):
+    near = []
+    for seed in range(6):
+        rng = random.Random(seed)
+        line = " ".join(f"w{rng.randrange(10**6)}" for _ in range(10))
+        other = " ".join(f"v{rng.randrange(10**6)}" for _ in range(2500))
+        a, b = sign(spark, [" ".join([line] * 1000), " ".join([line] * 750) + " " + other])
+        near.append(like(spark, a, b))
+    assert min(near) > 0.15 and max(near) < 0.75, near
+
+
+def test_equals_a_plain_selection(spark):
+    """Every occurrence numbered by a window, the least of each slot by a rank."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abcd") for _ in range(n)) for n in (70, 300, 3000)]
+    texts += [" ".join(f"w{rng.randrange(40)}" for _ in range(6000)), "same old line " * 900]
+    rows = [(i, t[p], t[p + 1], t[p + 2], p) for i, t in enumerate(x.split() for x in texts) for p in range(len(t) - 2)]
+    spark.createDataFrame(rows, "i int, a string, b string, c string, at int").createOrReplaceTempView("plain_kmers")
+    got = spark.sql("""with ids as (select i, at, xxhash64(h, row_number() over (partition by i, h order by at) + 0L) as id from (select i, at, xxhash64(a, b, c) as h from plain_kmers)),
+ranked as (select i, at, id, pmod(id, 32) as slot, row_number() over (partition by i, pmod(id, 32) order by id) as r from ids)
+select i, slot, xxhash64(slot, transform(array_sort(collect_list(struct(at, id))), x -> x.id)) as h from ranked where r <= 2 group by i, slot order by i, slot""").collect()
+    assert sign(spark, texts) == [[r.h for r in got if r.i == i] for i in range(len(texts))]
+
+
 def next_of(rows):
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     return [(str(r[0]), str(r[1]), str(order[(i + 1) % len(order)][1])) for i, r in enumerate(order)]
