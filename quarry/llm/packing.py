@@ -12,8 +12,9 @@ their length, without another look at the texts.
 from __future__ import annotations
 
 import json
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,12 @@ BUCKETS = 64
 #: Fixed value: the published pre-tokenisation pattern of this vocabulary.
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Longer runs of white space go to the library: the pattern above backtracks over a run,
+#: and the encoder's stack ends before 1,000,000 places.
+LONG_SPACE = 100_000
+
 _encoders: dict = {}
+_tokenizers: dict = {}
 
 
 def encoder(path: str | None = None):
@@ -51,6 +57,40 @@ def encoder(path: str | None = None):
     return _encoders[path]
 
 
+def tokenizer(path: str | None = None) -> Callable[[str], list[int]]:
+    """Function from a text to the ids that the tokenizers library gives for it with its
+    default settings and without special tokens around it. Tokens that the file adds to
+    the vocabulary are found in the text first; the encoder does what is between them."""
+    if path not in _tokenizers:
+        import public_tokenizers
+        from tokenizers import Tokenizer
+
+        file = path or public_tokenizers.path(TOKENIZER)
+        with open(file, encoding="utf-8") as f:
+            added = json.load(f)["added_tokens"]
+        ordinary, library = encoder(path).encode_ordinary, Tokenizer.from_file(file)
+        ids = {t["content"]: t["id"] for t in added}
+        plain = not any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added)
+        marks = re.compile("|".join(f"({re.escape(c)})" for c in sorted(ids, key=len, reverse=True)) or r"(?!)")
+        spaces = re.compile(rf"\s{{{LONG_SPACE}}}")
+
+        def encode(text: str) -> list[int]:
+            marked = any(c in text for c in ids)
+            if marked and not plain or len(text) >= LONG_SPACE and spaces.search(text):
+                return library.encode(text, add_special_tokens=False).ids
+            if not marked:
+                return ordinary(text)
+            out, at = [], 0
+            for m in marks.finditer(text):
+                out += ordinary(text[at : m.start()])
+                out.append(ids[m.group()])
+                at = m.end()
+            return out + ordinary(text[at:])
+
+        _tokenizers[path] = encode
+    return _tokenizers[path]
+
+
 def piece_starts(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of ``n`` tokens: all full but perhaps the first."""
     if n <= capacity:
@@ -63,7 +103,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, e
     """doc_id, piece, start, length, ids_crc32 (and ids) of every document."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(path).encode_ordinary
+        encode = tokenizer(path)
         for pdf in frames:
             rows = []
             for doc_id, text in zip(pdf["doc_id"].array, pdf["text"]):

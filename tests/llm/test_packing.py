@@ -40,6 +40,20 @@ def test_ids_equal_the_library(spark):
     assert [t.encode(x, add_special_tokens=False).ids for x in texts] == [enc.encode_ordinary(x) for x in texts]
 
 
+def test_ids_equal_the_library_as_it_is(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["", "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  \n<|endoftext|", "<|ENDOFTEXT|> <|end<|endoftext|>of", "it's  we'll\n\n 日本", "a" + " " * 1_000_000, "\n" * 1_000_000 + "b <|endoftext|>", "x" * 1_000_000, "7" * 1_000_000]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert want[1] == [64, 220, 50256, 275]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1), with_ids=True).collect()
+    for i, ids in enumerate(want):
+        own = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.piece)
+        assert [x for r in own for x in r.ids] == [*ids, packing.END_ID], i
+
+
 def check_rows(rows, docs):
     enc = packing.encoder()
     got = {}
