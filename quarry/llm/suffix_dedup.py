@@ -14,15 +14,19 @@ anchors at equal distances, and a string can repeat only if its anchor's gram do
    just found; a common prefix grows by one, or is the least of those between. Repeated
    to the segment's left end, this sorts every suffix of every segment from the sampled
    ones, with common-prefix values, in linear passes over the shard. The segments' bytes
-   are in a file on disk once they exceed ``memory`` bytes.
+   are in files on disk once they exceed ``memory`` bytes.
 5. A string is repeated if a neighbour shares ``length`` bytes or its segment has
    copies. The spans found are brought back to the texts.
 
-Shards are keyed by the gram, so a string never meets its copies across shards.
+Shards are keyed by the gram, so a string never meets its copies across shards. A gram
+that occurs more than ``CROWD`` times is keyed by the bytes around it as well, once for
+each of ``PARTS`` ranges of the distance at which a string begins; segments that are alone
+with their key are passed over.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import pickle
 import tempfile
@@ -39,6 +43,9 @@ from .common import U64
 LENGTH = 400
 GRAM = 100
 MEMORY = 64 << 20
+#: A gram that occurs more often is split by the bytes around it.
+CROWD = 1024
+PARTS = 3
 _POSITION_BITS = 23
 _PIECE = 1 << 21
 
@@ -133,24 +140,64 @@ def anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     return docs.mapInPandas(run, "doc_id long, k long, x long, before int, after int, h long, u long")
 
 
-def repeated_starts(rows: list[tuple], length: int, memory: int = MEMORY) -> list[list[tuple[int, int]]]:
-    """The induced sort of one shard. ``rows``: (h, copies, before, after, segment).
-    Returns for each row the runs (from, to) of distances before the anchor at which a
-    repeated string begins."""
-    n = len(rows)
+_ROW = np.dtype([("u", "<i8"), ("h", "<i8"), ("group", "<i8"), ("before", "<i4"), ("after", "<i4"), ("many", "?")])
+_BLOCK = 1 << 13
+
+
+class Shard:
+    """The segments of one sort, taken in one by one: what lies right of the anchors goes
+    to a spilling queue, what lies left and the rows' numbers to files once they exceed
+    ``memory`` bytes. Rows of one key come one after the other."""
+
+    def __init__(self, length: int, memory: int = MEMORY) -> None:
+        self.length, self.memory = length, memory
+        self.queue = SpillingQueue(memory)
+        self.n = self.size = self.deepest = 0
+        self.group, self.key = -1, None
+        self.rows, self.lefts = (tempfile.SpooledTemporaryFile(memory // 8) for _ in range(2))
+
+    def add(self, key: tuple, u: int, h: int, copies: int, before: int, after: int, segment: bytes) -> None:
+        if key != self.key:
+            self.group, self.key = self.group + 1, key
+        self.rows.write(np.array([(u, h, self.group, before, after, copies > 1)], _ROW).tobytes())
+        self.lefts.write(segment[:before].rjust(self.length, b"\0"))
+        self.queue.push((self.group, segment[before:], self.n), len(segment) + 80)
+        self.n += 1
+        self.size += len(segment)
+        self.deepest = max(self.deepest, before)
+
+    def table(self) -> np.ndarray:
+        self.rows.seek(0)
+        if self.n * _ROW.itemsize <= self.memory:
+            return np.frombuffer(self.rows.read(), _ROW)
+        self.rows.rollover()
+        return np.memmap(self.rows, _ROW, "r", shape=self.n)
+
+    def left(self) -> np.ndarray:
+        """For each distance before the anchors, the rows' bytes."""
+        shape = (self.deepest + 1, self.n)
+        out = np.memmap(tempfile.TemporaryFile(), np.uint8, "w+", shape=shape) if shape[0] * self.n > self.memory else np.zeros(shape, np.uint8)
+        self.lefts.seek(0)
+        for at in range(0, self.n, _BLOCK):
+            block = np.frombuffer(self.lefts.read(_BLOCK * self.length), np.uint8).reshape(-1, self.length)
+            out[1:, at : at + len(block)] = block[:, ::-1].T[: self.deepest]
+        self.lefts.close()
+        return out
+
+
+def repeated_starts(shard: Shard) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """The induced sort of one shard. Gives each row that has some, with the runs (from,
+    to) of distances before the anchor at which a repeated string begins."""
+    n, length, memory = shard.n, shard.length, shard.memory
     if not n:
-        return []
-    before = np.array([r[2] for r in rows], np.int32)
-    after = np.array([r[3] for r in rows], np.int32)
-    many = np.array([r[1] for r in rows]) > 1
-    group = np.unique(np.array([r[0] for r in rows], np.int64), return_inverse=True)[1].astype(np.int64)
-    deepest = int(before.max())
-    shape = (deepest + 1, n)
-    left = np.memmap(tempfile.TemporaryFile(), np.uint8, "w+", shape=shape) if shape[0] * n > memory else np.zeros(shape, np.uint8)
-    queue = SpillingQueue(memory)
-    for i, (_, _, b, _, segment) in enumerate(rows):
-        left[1 : b + 1, i] = np.frombuffer(segment, np.uint8, b)[::-1]
-        queue.push((int(group[i]), segment[b:], i), len(segment) + 80)
+        return
+    rows, left = shard.table(), shard.left()
+    before, after, many, group = rows["before"], rows["after"], rows["many"], rows["group"]
+    deepest, queue = shard.deepest, shard.queue
+    runs = tempfile.SpooledTemporaryFile(memory // 8)
+
+    def close_runs(i: np.ndarray, start: np.ndarray, end: int) -> None:
+        runs.write(np.stack([i, start, np.full(len(i), end)], 1).astype("<i8").tobytes())
 
     order = np.empty(n, np.int64)
     shared = np.zeros(n, np.int32)
@@ -166,7 +213,6 @@ def repeated_starts(rows: list[tuple], length: int, memory: int = MEMORY) -> lis
                 shared[at] = int(differ.argmax())
         prev_group, prev = g, right
 
-    runs: list[list[tuple[int, int]]] = [[] for _ in range(n)]
     opened = np.full(n, -1, np.int32)
     for d in range(deepest + 1):
         if d:
@@ -187,8 +233,8 @@ def repeated_starts(rows: list[tuple], length: int, memory: int = MEMORY) -> lis
         best = np.maximum(shared, np.append(shared[1:], 0))
         hit = np.zeros(n, bool)
         hit[order] = ((best >= length) | many[order]) & (after[order] <= d)
-        for i in np.flatnonzero(~hit & (opened >= 0)).tolist():
-            runs[i].append((int(opened[i]), d - 1))
+        over = np.flatnonzero(~hit & (opened >= 0))
+        close_runs(over, opened[over], d - 1)
         opened[~hit] = -1
         opened[hit & (opened < 0)] = d
         useful = many[order] | (best + (before[order] - d) >= length)
@@ -200,47 +246,87 @@ def repeated_starts(rows: list[tuple], length: int, memory: int = MEMORY) -> lis
             cut = np.minimum.reduceat(np.append(shared, np.int32(0)), np.stack([np.append(0, keep[:-1] + 1), keep + 1], 1).ravel())[::2]
             order, shared = order[keep], cut
             shared[0] = 0
-    for i in np.flatnonzero(opened >= 0).tolist():
-        runs[i].append((int(opened[i]), deepest))
-    return runs
+    over = np.flatnonzero(opened >= 0)
+    close_runs(over, opened[over], deepest)
+    count = runs.tell() // 24
+    runs.seek(0)
+    if count * 24 > memory:
+        runs.rollover()
+        found = np.memmap(runs, "<i8", "r", shape=(count, 3))
+    else:
+        found = np.frombuffer(runs.read(), "<i8").reshape(-1, 3)
+    own, held = -1, []
+    by = np.argsort(found[:, 0], kind="stable")
+    for at in range(0, count, _BLOCK):
+        for i, start, end in found[by[at : at + _BLOCK]].tolist():
+            if i != own:
+                if held:
+                    yield own, held
+                own, held = i, []
+            held.append((start, end))
+    if held:
+        yield own, held
 
 
 def _sorted_shards(segments: DataFrame, length: int, memory: int) -> DataFrame:
-    """(h, u, runs) for the segments (h, u, copies, before, after, segment)."""
+    """(h, u, runs) for the segments (h, part, u, copies, before, after, segment)."""
 
-    def flush(held: list[tuple]) -> pd.DataFrame:
-        found = repeated_starts([r[1:] for r in held], length, memory)
-        out = [(r[1], r[0], [x for run in runs for x in run]) for r, runs in zip(held, found) if runs]
-        return pd.DataFrame(out, columns=["h", "u", "runs"])
+    def flush(shard: Shard) -> Iterator[pd.DataFrame]:
+        rows, out = shard.table() if shard.n else None, []
+        for i, runs in repeated_starts(shard):
+            out.append((int(rows[i]["h"]), int(rows[i]["u"]), [x for run in runs for x in run]))
+            if len(out) == _BLOCK:
+                yield pd.DataFrame(out, columns=["h", "u", "runs"])
+                out = []
+        yield pd.DataFrame(out, columns=["h", "u", "runs"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size, last = [], 0, None
+        shard, last, lone = Shard(length, memory), None, None
         for pdf in frames:
-            for u, h, copies, before, after, segment in zip(*(pdf[c].tolist() for c in ("u", "h", "copies", "before", "after", "segment"))):
-                if size > memory and h != last:
-                    yield flush(held)
-                    held, size = [], 0
-                held.append((u, h, copies, before, after, bytes(segment)))
-                size += len(segment)
-                last = h
-        if held:
-            yield flush(held)
+            for h, part, u, copies, before, after, segment in zip(*(pdf[c].tolist() for c in ("h", "part", "u", "copies", "before", "after", "segment"))):
+                key, row = (h, part), (u, h, copies, before, after, bytes(segment))
+                if key != last:
+                    if shard.size > memory:
+                        yield from flush(shard)
+                        shard = Shard(length, memory)
+                    # The only segment of its key waits for another; alone it repeats nothing.
+                    last, lone = key, row if copies == 1 else None
+                    if lone:
+                        continue
+                if lone:
+                    shard.add(key, *lone)
+                    lone = None
+                shard.add(key, *row)
+        yield from flush(shard)
 
     parts = common.n_partitions(segments.sparkSession)
-    return segments.repartition(parts, "h").sortWithinPartitions("h", "u").mapInPandas(run, "h long, u long, runs array<int>")
+    return segments.repartition(parts, "h", "part").sortWithinPartitions("h", "part", "u").mapInPandas(run, "h long, u long, runs array<int>")
+
+
+def _parted(before: int, after: int, segment: bytes, length: int, gram: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """The segment of a crowded gram, cut for ``PARTS`` ranges of distances at which a
+    string begins: (part, before, after, segment). All strings of a range share the bytes
+    around the anchor of which ``part`` is a hash, so equal strings meet in one part."""
+    step = -(-(length - gram) // PARTS) or 1
+    for j in range(0, max(1, length - gram), step):
+        far, near = min(before, j + step), max(after, j)
+        if near <= far:
+            core = segment[before - j : before + length - min(j + step, length - gram)]
+            part = int.from_bytes(hashlib.blake2b(core, digest_size=8, salt=b"%d" % (j // step)).digest(), "little", signed=True)
+            yield part, far, near, segment[before - far : before - near + length]
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, memory: int = MEMORY) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, memory: int = MEMORY, crowd: int = CROWD) -> DataFrame:
     """(doc_id, k, spans): for each text with repeated strings, pairs of byte offsets
     flattened to one array, not yet merged. ``docs``: doc_id, k (hash of text), text."""
     found = common.stage(anchors(docs, length, gram))
     # Written first: both sides of the join are then plain shuffles, and the rows of a gram
     # that is everywhere can be dealt to several tasks.
-    twice = common.stage(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
-    kept = common.stage(found.join(twice, "h", "left_semi"))
+    twice = common.stage(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", (F.col("n") > crowd).alias("crowded")))
+    kept = common.stage(found.join(twice, "h"))
     common.drop_stage(found)
-    named = kept.groupBy("h", "u").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "k", "x", "before", "after")).alias("at"))
-    wanted = named.select(F.col("at.doc_id").alias("doc_id"), F.col("at.k").alias("k"), F.struct("h", "u", "copies", "at.x", "at.before", "at.after").alias("s"))
+    named = kept.groupBy("h", "u").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "k", "x", "before", "after", "crowded")).alias("at"))
+    wanted = named.select(F.col("at.doc_id").alias("doc_id"), F.col("at.k").alias("k"), F.struct("h", "u", "copies", "at.x", "at.before", "at.after", "at.crowded").alias("s"))
     wanted = wanted.groupBy("doc_id", "k").agg(F.collect_list("s").alias("wanted"))
     texts = docs.select(F.col("doc_id").alias("id"), F.col("k").alias("key"), "text")
     joined = texts.join(wanted, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("k"))).select("text", "wanted")
@@ -251,18 +337,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, memo
             for text, want in zip(pdf["text"], pdf["wanted"]):
                 value = common.utf8(text)
                 for s in want:
-                    out.append((s["h"], s["u"], s["copies"], s["before"], s["after"], value[s["x"] - s["before"] : s["x"] - s["after"] + length]))
+                    segment = value[s["x"] - s["before"] : s["x"] - s["after"] + length]
+                    rows = _parted(s["before"], s["after"], segment, length, gram) if s["crowded"] else [(0, s["before"], s["after"], segment)]
+                    out.extend((s["h"], part, s["u"], s["copies"], before, after, own) for part, before, after, own in rows)
             for at in range(0, len(out), 20_000):
-                yield pd.DataFrame(out[at : at + 20_000], columns=["h", "u", "copies", "before", "after", "segment"])
+                yield pd.DataFrame(out[at : at + 20_000], columns=["h", "part", "u", "copies", "before", "after", "segment"])
 
-    segments = joined.mapInPandas(cut, "h long, u long, copies long, before int, after int, segment binary").dropDuplicates(["h", "u"])
+    segments = joined.mapInPandas(cut, "h long, part long, u long, copies long, before int, after int, segment binary").dropDuplicates(["h", "u", "part"])
     runs = _sorted_shards(segments, length, memory)
     spans = F.transform(F.expr("sequence(0, size(runs) div 2 - 1)"), lambda i: F.struct((F.col("x") - F.element_at("runs", (2 * i + 2).cast("int"))).alias("s"), (F.col("x") - F.element_at("runs", (2 * i + 1).cast("int")) + length).alias("e")))
     hits = kept.join(runs, ["h", "u"]).select("doc_id", "k", F.explode(spans).alias("p"))
     return hits.groupBy("doc_id", "k").agg(F.collect_list("p").alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, memory: int = MEMORY) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, memory: int = MEMORY, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_bytes, spans (maximal removed runs: array of start, end) and kept
     (binary), one row for each row of ``docs``.
 
@@ -272,7 +360,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, memo
     a null doc_id is carried through. Other columns are ignored.
     """
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("k"))
-    found = repeated_spans(docs, length, gram, memory)
+    found = repeated_spans(docs, length, gram, memory, crowd)
     found = found.select(F.col("doc_id").alias("id"), F.col("k").alias("key"), "spans")
     joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("k") == F.col("key")), "left").select("doc_id", "text", "spans")
 

@@ -71,3 +71,37 @@ def test_queue_merges_runs():
     for x in items:
         q.push(x, 30)
     assert list(q) == sorted(items)
+
+
+def test_crowded_grams_are_split(spark):
+    """A common phrase in different surroundings, some of which repeat in part."""
+    rng = random.Random(12)
+    make = lambda k: "".join(rng.choices("abcdefghij", k=k))
+    phrase, around = make(25), [make(30) for _ in range(12)]
+    rows = [(i, rng.choice(around)[rng.randrange(20) :] + phrase + rng.choice(around)[: rng.randrange(30)] + make(5)) for i in range(120)]
+    rows += [(500 + i, make(40) + phrase + make(40)) for i in range(60)] + [(700, rows[3][1]), (701, rows[3][1])]
+    want = brute(rows, 40)
+    assert sum(r[2] > 0 for r in want) > 60
+    for kw in ({"crowd": 1}, {"crowd": 20}, {"crowd": 20, "memory": 500}):
+        assert run(spark, rows, length=40, gram=10, **kw) == want
+    for seed in range(2):
+        rows = corpus(seed)
+        assert run(spark, rows, length=40, gram=10, crowd=1, memory=3000) == brute(rows, 40)
+
+
+def test_a_shard_of_one_gram_stays_on_disk():
+    """Segments of one gram, ten times the memory: their bytes are not held."""
+    import tracemalloc
+
+    rng, memory, n = random.Random(5), 1 << 20, 20_000
+    tracemalloc.start()
+    shard = suffix_dedup.Shard(400, memory)
+    for i in range(n):
+        shard.add((7, 0), i, 7, 1, 300, 0, rng.randbytes(300) + b"g" * 100 + rng.randbytes(300))
+    copy = rng.randbytes(200) + b"g" * 100 + rng.randbytes(200)
+    for i in range(2):
+        shard.add((7, 0), n + i, 7, 1, 200, 0, copy)
+    found = dict(suffix_dedup.repeated_starts(shard))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(found) == [n, n + 1] and peak < 10 * memory < shard.size
