@@ -1,7 +1,10 @@
 """Document fingerprints by order MinHash, as DataFrame expressions.
 
-A text is a sequence of tokens: its words, or its characters where it has at most
-``SHORT`` of them. Its k-mers are numbered among equal ones, so a repetition counts. In
+A text is a sequence of tokens: its words, a word of more than ``LONG`` characters being
+its characters, and each character of a script without spaces. The rule looks at the word
+alone, whatever the text's size. A k-mer is a token and those before it, as far as there are
+any, so each token ends one and a text of few tokens has k-mers too. K-mers are
+numbered among equal ones, so a repetition counts. In
 each of ``SLOTS`` slots (the number's hash decides) the ``TUPLE`` least are selected, put
 back in the order of the text and hashed together. A signature is the filled slots'
 hashes: two texts agree in a slot if they have the same least k-mers in the same order
@@ -25,16 +28,24 @@ K = 3
 SLOTS = 32
 TUPLE = 2
 LEAST = 512
-SHORT = 64
+LONG = 16
 
 
 _SPACE = " \t\n\x0b\x0c\r"
 
 
+#: Of a regular expression's class: characters that are tokens whatever is next to them.
+#: Ranges (Thai, Lao, Burmese, Khmer, kana, Han), as a look-up of scripts is slow.
+_ALONE = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3005-\u3007\u3040-\u30FF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
+_IN_WORD = rf"[^ \t-\r{_ALONE}]"
+_TOKEN = rf"(?<!{_IN_WORD}){_IN_WORD}{{1,{LONG}}}+(?!{_IN_WORD})|[^ \t-\r]"
+
+
 def _tokens(text: Column) -> Column:
     bare = F.trim(text, F.lit(_SPACE))
-    tokens = F.when(F.length(text) <= SHORT, F.split(text, "")).otherwise(F.split(bare, r"[ \t-\r]+"))
-    return F.when(F.length(F.when(F.length(text) <= SHORT, text).otherwise(bare)) > 0, tokens).otherwise(F.expr("cast(array() as array<string>)"))
+    words = F.split(bare, r"[ \t-\r]+")  # the same, faster, where all tokens are words
+    tokens = F.when(F.rlike(bare, F.lit(rf"[{_ALONE}]|(?:^|[ \t-\r])[^ \t-\r]{{{LONG + 1}}}")), F.regexp_extract_all(bare, F.lit(_TOKEN), F.lit(0))).otherwise(words)
+    return F.when(F.length(bare) > 0, tokens).otherwise(F.expr("cast(array() as array<string>)"))
 
 
 def _let(value: Column, body) -> Column:
@@ -49,13 +60,9 @@ def signature(text: Column) -> Column:
 
 
 def _kmers(t: Column) -> Column:
-    """(hash, place) of all k-mers, in order of their hashes, then places; fewer tokens
-    than ``K`` make one."""
-    n = F.size(t)
-    every = F.transform(F.slice(t, F.lit(1), n - K + 1), lambda x, i: F.struct(F.xxhash64(x, *(F.get(t, i + k) for k in range(1, K))).alias("h"), i.alias("at")))
-    one = F.array(F.struct(F.xxhash64(F.array_join(t, " ")).alias("h"), F.lit(0).alias("at")))
-    none = F.expr("cast(array() as array<struct<h: bigint, at: int>>)")
-    return F.sort_array(F.when(n >= K, every).when(n > 0, one).otherwise(none))
+    """(hash, place) of all k-mers, in order of their hashes, then places. The place is
+    that of the last token; nulls before the first one add nothing to a hash."""
+    return F.sort_array(F.transform(t, lambda x, i: F.struct(F.xxhash64(*(F.get(t, i - k) for k in range(K - 1, 0, -1)), x).alias("h"), i.alias("at"))))
 
 
 def _numbered(kmers: Column) -> Column:

@@ -56,7 +56,7 @@ def test_equals_a_plain_selection(spark):
     rng = random.Random(9)
     texts = [" ".join(rng.choice("abcd") for _ in range(n)) for n in (70, 300, 3000)]
     texts += [" ".join(f"w{rng.randrange(40)}" for _ in range(6000)), "same old line " * 900]
-    rows = [(i, t[p], t[p + 1], t[p + 2], p) for i, t in enumerate(x.split() for x in texts) for p in range(len(t) - 2)]
+    rows = [(i, *[t[p - k] if p >= k else None for k in (2, 1, 0)], p) for i, t in enumerate(x.split() for x in texts) for p in range(len(t))]
     spark.createDataFrame(rows, "i int, a string, b string, c string, at int").createOrReplaceTempView("plain_kmers")
     got = spark.sql("""with ids as (select i, at, xxhash64(h, row_number() over (partition by i, h order by at) + 0L) as id from (select i, at, xxhash64(a, b, c) as h from plain_kmers)),
 ranked as (select i, at, id, pmod(id, 32) as slot, row_number() over (partition by i, pmod(id, 32) order by id) as r from ids)
@@ -64,6 +64,31 @@ select i, slot, xxhash64(slot, transform(array_sort(collect_list(struct(at, id))
     assert sign(spark, texts) == [[r.h for r in got if r.i == i] for i in range(len(texts))]
 
 
+def test_text_without_spaces_keeps_its_likeness(spark):
+    rng = random.Random(3)
+    for letters in ("abcdefghijklmnopqrstuvwxyz0123456789+/", [chr(0x4E00 + i) for i in range(2000)], [chr(0x20000 + i) for i in range(2000)]):
+        make = lambda n: "".join(rng.choice(letters) for _ in range(n))
+        kept = make(1500)
+        a, b, inserted, other = sign(spark, [kept + make(500), kept + make(500), make(3) + kept + make(100), make(2000)])
+        assert like(spark, a, b) > 0.2 and like(spark, a, inserted) > 0.2 and like(spark, a, other) < 0.2
+
+
+def test_one_rule_at_every_size(spark):
+    words = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    for n in (50, 62, 64, 65, 66, 70):  # likeness does not depend on the side of a limit
+        a, b = sign(spark, [words[:n], words[:48]])
+        assert like(spark, a, b) > 0.3, n
+    a, b, c, d = sign(spark, ["alpha beta gamma", "alpha beta delta", "字典里的词语", "字典里的词典"])
+    assert like(spark, a, b) > 0.3 and like(spark, c, d) > 0.3
+
+
+def test_tokens(spark):
+    texts = ["a bc\t\nd", " x" + "y" * 16 + " z ", "y" * 16 + " z", "ab日本cd e", "y" * 17 + "日", "日" + "y" * 16]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = [r.t for r in df.select(fingerprint._tokens(F.col("text")).alias("t")).collect()]
+    assert got == [["a", "bc", "d"], ["x", *"y" * 16, "z"], ["y" * 16, "z"], ["ab", "日", "本", "cd", "e"], [*"y" * 17, "日"], ["日", "y" * 16]]
+
+
 def next_of(rows):
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     return [(str(r[0]), str(r[1]), str(order[(i + 1) % len(order)][1])) for i, r in enumerate(order)]
