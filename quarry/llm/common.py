@@ -41,14 +41,37 @@ def stage(df: DataFrame, *partition_by: str) -> DataFrame:
     df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
+    _staged.append(path)
     return out
 
 
+_staged: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_stage(df: DataFrame) -> None:
     """Delete what :func:`stage` wrote; nothing may read it afterwards."""
-    jvm = df.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df.staged_path)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df.staged_path)
+    if df.staged_path in _staged:
+        _staged.remove(df.staged_path)
+
+
+def staged() -> int:
+    """How many tables this process has staged and not deleted: a mark for :func:`clear`."""
+    return len(_staged)
+
+
+def clear(spark: SparkSession, *keep: DataFrame, since: int = 0) -> None:
+    """Delete the tables staged after the mark ``since``, but for ``keep``. An operator's
+    result reads staged tables until it has been written; call this afterwards."""
+    kept = {getattr(df, "staged_path", None) for df in keep}
+    for path in [p for p in _staged[since:] if p not in kept]:
+        _delete(spark, path)
+        _staged.remove(path)
 
 
 def n_partitions(spark: SparkSession) -> int:

@@ -7,10 +7,16 @@ table exactly if they agree in a sketch of both collections; sets that have no p
 in one collection are therefore left out before the keys are formed.
 
 At the threshold of 0.85 a pair misses every table with probability
-``2 * (1 - 0.85**rows)**side``, 5e-6 as set here; no bucket is cut off. Sets that meet
+``2 * (1 - 0.85**rows)**side``, 1.5e-5 as set here; no bucket is cut off. A pair of
+likeness 0.3 meets with probability 0.015, one of 0.1 with 3e-6. Sets that meet
 form candidate groups, in which every pair is then settled on the full sets, so a link
-is lost only if no chain of tables connects its ends. Groups larger than ``block`` sets
-are compared block against block in separate tasks.
+is lost only if no chain of tables connects its ends.
+
+A group of more than ``block`` bytes is dealt to blocks. First every block is settled by
+itself, together with the group's leader, the set with the least doc_id: a group of true
+copies is one class after this, in linear work. Only groups that are still in several
+classes have their blocks compared with each other, and there only sets of different
+classes.
 """
 
 from __future__ import annotations
@@ -25,10 +31,11 @@ from pyspark.sql import functions as F
 from . import common
 from .common import U64
 
-SIDE = 10
-ROWS = 2
+SIDE = 16
+ROWS = 4
 SHINGLE = 5
-BLOCK = 256
+#: Bytes of text that one comparison holds, about; with another block, twice as many.
+BLOCK = 4 << 20
 
 _SEEDS = common.mix(np.arange(1, 2 * SIDE * ROWS + 1, dtype=U64) * U64(0xC2B2AE3D27D4EB4F))
 
@@ -48,7 +55,8 @@ def _sketch(sets: list[np.ndarray], side: int, rows: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, side: int = SIDE, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, the set's 128-bit name (s1, s2) and its sketches ``a``, ``b``."""
+    """doc_id, k (hash of the text), n_bytes, n_shingles, the set's 128-bit name (s1, s2)
+    and its sketches ``a``, ``b``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -70,6 +78,8 @@ def sketches(docs: DataFrame, side: int = SIDE, rows: int = ROWS, shingle: int =
                 yield pd.DataFrame(
                     {
                         "doc_id": pdf["doc_id"].iloc[lo:hi].to_numpy(),
+                        "k": pdf["k"].iloc[lo:hi].to_numpy(),
+                        "n_bytes": [len(v) for v in values[lo:hi]],
                         "n_shingles": size,
                         "s1": name[0].view(np.int64),
                         "s2": name[1].view(np.int64),
@@ -78,7 +88,8 @@ def sketches(docs: DataFrame, side: int = SIDE, rows: int = ROWS, shingle: int =
                     }
                 )
 
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInPandas(run, "doc_id long, n_shingles long, s1 long, s2 long, a array<long>, b array<long>")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("k"), "text").where("doc_id is not null")
+    return keyed.mapInPandas(run, "doc_id long, k long, n_bytes long, n_shingles long, s1 long, s2 long, a array<long>, b array<long>")
 
 
 def candidate_links(sets: DataFrame) -> DataFrame:
@@ -99,23 +110,16 @@ def candidate_links(sets: DataFrame) -> DataFrame:
     return keys.join(lead, "key").where("rep <> lead").select(F.col("rep").alias("u"), F.col("lead").alias("v")).distinct()
 
 
-def _links(sets: list[np.ndarray], sides: np.ndarray | None, percent: int) -> list[int]:
-    """For each set, the first set of its group when sets with
-    ``100 * common >= percent * union`` are linked. With ``sides`` only sets of
-    different sides are compared."""
-    root = list(range(len(sets)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
+def _links(sets: list[np.ndarray], group: np.ndarray, sides: np.ndarray | None, percent: int) -> list[int]:
+    """For each set, the first set of its class when sets with
+    ``100 * common >= percent * union`` are linked. Sets of one ``group`` are linked
+    already. With ``sides`` only sets of different sides are compared."""
+    _, first, group = np.unique(group, return_index=True, return_inverse=True)
+    group = first[group]
     size = np.array([len(s) for s in sets])
     ids, flat = np.unique(np.concatenate(sets), return_inverse=True)
     at = np.concatenate([[0], np.cumsum(size)])
     mark = np.zeros(len(ids), np.int32)
-    group = np.arange(len(sets))
     for i in range(len(sets) - 1):
         others = np.arange(i + 1, len(sets))
         ok = (group[others] != group[i]) & (100 * np.minimum(size[others], size[i]) >= percent * np.maximum(size[others], size[i]))
@@ -132,69 +136,114 @@ def _links(sets: list[np.ndarray], sides: np.ndarray | None, percent: int) -> li
             shared = np.array([mark[flat[at[j] : at[j + 1]]].sum() for j in others])
         mark[own] = 0
         for j in others[100 * shared >= percent * (size[others] + size[i] - shared)].tolist():
-            a, b = find(i), find(j)
+            a, b = sorted((group[i], group[j]))
             if a != b:
-                root[max(a, b)] = min(a, b)
-                group[group == max(a, b)] = min(a, b)
-    return [find(i) for i in range(len(sets))]
-
-
-def verified_links(members: DataFrame, percent: int, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """Star edges (u, v) of the groups that verified links form within each candidate
-    group. ``members``: rep, text, grp, n (the group's size)."""
-    n = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("rep"), F.greatest(n, F.lit(1)).cast("long")).cast("int")
-    units = (
-        members.select("rep", "text", "grp", n.alias("blocks"), own.alias("own"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("rep", "text", "grp", "own", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"))
-    )
+                group[group == b] = a
+    return group.tolist()
+
+
+def _settled(units: DataFrame, keys: list[str], percent: int, shingle: int) -> DataFrame:
+    """Star edges (u, v) of the classes within each unit (``keys``, node, label, text and
+    own: the side, where two blocks meet, else null)."""
 
-    def settle(held: list[tuple[int, bytes, int]], cross: bool) -> list[tuple[int, int]]:
+    def settle(held: list[tuple[int, int, int | None, bytes]]) -> list[tuple[int, int]]:
         if len(held) < 2:
             return []
-        sets = common.shingle_sets([x[1] for x in held], shingle)
-        roots = _links(sets, np.array([x[2] for x in held]) if cross else None, percent)
+        sides = None if held[0][2] is None else np.array([x[2] for x in held])
+        roots = _links(common.shingle_sets([x[3] for x in held], shingle), np.array([x[1] for x in held]), sides, percent)
         return [(held[i][0], held[r][0]) for i, r in enumerate(roots) if r != i]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, held = None, []
         for pdf in frames:
             out: list[tuple[int, int]] = []
-            for rep, text, grp, own, b1, b2 in zip(*(pdf[c].tolist() for c in ("rep", "text", "grp", "own", "b1", "b2"))):
-                if (grp, b1, b2) != key:
-                    out += settle(held, key is not None and key[1] != key[2])
-                    key, held = (grp, b1, b2), []
-                held.append((rep, common.utf8(text), own))
+            own = [None if x is None or x != x else int(x) for x in pdf["own"].tolist()]
+            for unit, node, label, side, text in zip(zip(*(pdf[c].tolist() for c in keys)), pdf["node"].tolist(), pdf["label"].tolist(), own, pdf["text"].tolist()):
+                if unit != key:
+                    out += settle(held)
+                    key, held = unit, []
+                held.append((node, label, side, common.utf8(text)))
             yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
-        yield pd.DataFrame(settle(held, key is not None and key[1] != key[2]), columns=["u", "v"], dtype="int64")
+        yield pd.DataFrame(settle(held), columns=["u", "v"], dtype="int64")
 
-    parts = common.n_partitions(members.sparkSession)
-    return units.repartition(parts, "grp", "b1", "b2").sortWithinPartitions("grp", "b1", "b2").mapInPandas(run, "u long, v long")
+    parts = common.n_partitions(units.sparkSession)
+    return units.select(*keys, "node", "label", "own", "text").repartition(parts, *keys).sortWithinPartitions(*keys, "node").mapInPandas(run, "u long, v long")
+
+
+def verified_links(members: DataFrame, texts: DataFrame, percent: int, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    """Edges (u, v) whose components are the classes that verified links form within each
+    candidate group. ``members``: node, grp (its least node), doc_id, k, n_bytes;
+    ``texts``: doc_id, k, text."""
+    sizes = members.groupBy("grp").agg(F.ceil(F.sum("n_bytes") / block).cast("int").alias("blocks"))
+    members = common.stage(members.join(sizes, "grp").withColumn("own", F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1)).cast("long")).cast("int")))
+    # A sort-merge join at every size: texts move once, in proportion to the input.
+    whole = texts.hint("merge").join(members.select("node", "grp", "blocks", "own", "doc_id", "k"), ["doc_id", "k"])
+    alone = whole.withColumn("block", F.explode(F.when((F.col("node") == F.col("grp")) & (F.col("blocks") > 1), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))))
+    links = common.stage(_settled(alone.withColumn("label", F.col("node")).withColumn("own", F.lit(None).cast("int")), ["grp", "block"], percent, shingle))
+    large = members.where("blocks > 1")
+    if large.isEmpty():
+        return links
+    near = common.stage(common.connected_components(links))
+    large = large.join(near.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    split = large.groupBy("grp").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("grp")
+    large = common.stage(large.join(split, "grp", "left_semi"))
+    if large.isEmpty():
+        return links
+    across = texts.hint("merge").join(large.select("node", "grp", "blocks", "own", "label", "doc_id", "k"), ["doc_id", "k"])
+    across = across.withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("own"))))
+    across = across.withColumn("b1", F.least("own", "other")).withColumn("b2", F.greatest("own", "other"))
+    return links.unionByName(_settled(across, ["grp", "b1", "b2"], percent, shingle))
+
+
+def classify(docs: DataFrame, percent: int = 85, side: int = SIDE, rows: int = ROWS, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    """:func:`near_duplicates` with k, the hash of the row's text."""
+    found = common.stage(sketches(docs, side, rows, shingle))
+    full = found.where("n_shingles > 0")
+    sets = full.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "k", "n_bytes")).alias("at"), F.first("a").alias("a"), F.first("b").alias("b"))
+    sets = common.stage(sets.select("s1", "s2", "at.*", "a", "b"))
+    # A set goes by its least doc_id; where several sets have the same, by a hash.
+    shared = common.stage(sets.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("shared")))
+    node = F.col("doc_id")
+    if not shared.isEmpty():
+        sets, node = sets.join(shared, "doc_id", "left"), F.when(F.col("shared"), F.xxhash64("doc_id", "s1", "s2")).otherwise(F.col("doc_id"))
+    sets = common.stage(sets.select(node.alias("rep"), "s1", "s2", "doc_id", "k", "n_bytes", "a", "b"))
+    groups = common.connected_components(candidate_links(sets)).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
+    members = sets.select("rep", "doc_id", "k", "n_bytes").join(groups, "rep").withColumnRenamed("rep", "node")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("k"), "text").where("doc_id is not null")
+    links = verified_links(members, texts, percent, shingle, block)
+    classes = common.stage(common.connected_components(links)).withColumnRenamed("node", "rep")
+    named = common.stage(sets.select("s1", "s2", "doc_id", "rep").join(classes, "rep", "left"))
+    least = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
+    named = named.join(least, "component", "left").select("s1", "s2", F.coalesce("least", "doc_id").alias("component_id"))
+    out = found.select("doc_id", "k", "n_shingles", "s1", "s2").join(named, ["s1", "s2"], "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "k", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, side: int = SIDE, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, side: int = SIDE, rows: int = ROWS, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of ``docs``.
 
     Documents are linked if ``100 * |A & B| >= percent * |A | B|`` for their sets of
     distinct ``shingle``-word shingles (A-Z lower-cased, words split at ASCII white
     space). Fewer words make one shingle; a null, empty or blank text has none and is
     linked with nothing. component_id is the smallest doc_id reachable. Rows with a null
-    doc_id are not part of the result; rows that repeat a doc_id give one row each, and
-    texts under one doc_id count as connected through it. Other columns are ignored.
+    doc_id are not part of the result. Rows that repeat a doc_id give one row each, and
+    each is judged by its own text: a shared doc_id links nothing. Other columns are
+    ignored.
     """
-    found = common.stage(sketches(docs, side, rows, shingle))
-    full = found.where("n_shingles > 0")
-    sets = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("a").alias("a"), F.first("b").alias("b"), F.count("*").alias("copies"))
-    sets = common.stage(sets)
-    groups = common.connected_components(candidate_links(sets)).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
-    sizes = groups.groupBy("grp").agg(F.count("*").alias("n"))
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").where("doc_id is not null")
-    # A sort-merge join at every size: texts move once, in proportion to the input.
-    members = texts.hint("merge").join(groups.join(sizes, "grp"), "rep")
-    links = verified_links(members, percent, shingle)
-    classes = common.stage(common.connected_components(links))
-    named = sets.select("s1", "s2", "rep").join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
-    out = found.select("doc_id", "n_shingles", "s1", "s2").join(named, ["s1", "s2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return classify(docs, percent, side, rows, shingle, block).drop("k")
+
+
+def distinct_documents(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one row of each class, that with the smallest doc_id.
+
+    Rows without a doc_id stay, as do rows without words. Of rows with equal doc_id and
+    text one stays; different texts under one doc_id are judged one by one.
+    """
+    gone = classify(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("k").alias("_k")).distinct()
+    keyed = docs.where("doc_id is not null").withColumn("_key", F.xxhash64("text"))
+    rest = keyed.join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_k")), "left_anti")
+    columns = [c for c in docs.columns if c != "doc_id"]
+    first = F.struct("text", *(c for c in columns if c != "text"))
+    single = rest.groupBy("doc_id", "_key").agg(F.min(first).alias("row")).select("doc_id", *(F.col(f"row.{c}").alias(c) for c in columns))
+    return single.select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -51,10 +51,30 @@ def test_matches_brute_force(spark):
     assert run(spark, rows) == brute(rows)
 
 
-def test_blocks_match_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("block", [1, 5000])
+def test_blocks_match_brute_force(spark, block):
+    """Groups of many blocks: copies that one pass settles, and chains whose ends differ."""
+    rng = random.Random(6)
     rows = corpus(5, 80)
-    monkeypatch.setattr(minhash.verified_links, "__defaults__", (5, 3))
-    assert run(spark, rows) == brute(rows)
+    text = [f"v{i}" for i in range(120)]
+    rows += [(2000 + i, " ".join(text[:i] + [f"new{i}"] + text[i + 1 :])) for i in range(0, 120, 9)]
+    chain = [f"c{i}" for i in range(100)]
+    for i in range(12):
+        rows.append((3000 + i, " ".join(chain)))
+        chain[rng.randrange(5 * i, 5 * i + 5)] = f"d{i}"
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, minhash.near_duplicates(df, block=block).collect())) == brute(rows)
+
+
+def test_texts_under_one_doc_id_are_judged_one_by_one(spark):
+    same, unique, third = "a b c d e f g", "some words that no other row has at all", "and yet another row of words under it"
+    rows = [(1, same), (5, same), (5, unique), (5, third), (9, third), (9, third)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as k", "2 as n_bytes")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect())
+    assert got == [(1, 1, True), (5, 1, False), (5, 5, True), (5, 5, True), (9, 5, False), (9, 5, False)]
+    kept = minhash.distinct_documents(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, same), (5, third), (5, unique)]
 
 
 def test_empty_repeated_and_extra(spark):
