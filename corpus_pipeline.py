@@ -21,13 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest doc_id.
-    Rows without a doc_id stay; of rows that repeat a doc_id one stays."""
-    dropped = minhash.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
-    rest = docs.join(dropped, docs["doc_id"] == dropped["_id"], "left_anti")
-    columns = [c for c in docs.columns if c != "doc_id"]
-    first = F.struct("text", *(c for c in columns if c != "text"))
-    single = rest.where("doc_id is not null").groupBy("doc_id").agg(F.min(first).alias("row")).select("doc_id", *(F.col(f"row.{c}").alias(c) for c in columns))
-    return single.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    Rows without a doc_id stay; texts that share a doc_id are judged one by one."""
+    return minhash.distinct_documents(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +58,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    """The last stage's rows. What the stages put into the shared folder is deleted as
+    soon as the next one's input has been written."""
+    docs, mark = common.table(spark, sf_dir, "documents"), common.staged()
     for _, function in STAGES:
         docs = common.stage(function(spark, docs, sf_dir))
+        common.clear(spark, docs, since=mark)
     return docs
