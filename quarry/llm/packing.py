@@ -26,7 +26,8 @@ from . import common
 CAPACITY = 1024
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
-BUCKETS = 64
+#: Pieces of one length that are ranked together, about; a longer list is dealt to buckets.
+BUCKET_ROWS = 200_000
 
 #: Fixed value: the published pre-tokenisation pattern of this vocabulary.
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -220,7 +221,7 @@ def places(patterns: list[tuple[int, list[int]]]) -> dict[int, tuple[np.ndarray,
     return {k: tuple(np.array(v, np.int64).T) for k, v in table.items()}
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end_id: int = END_ID, with_ids: bool = False, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset (and the piece's ids).
 
     Every row of ``docs`` gives its pieces, so repeated rows and null doc_ids do too. A
@@ -228,14 +229,15 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end
     into full pieces after a first one that may be shorter. Other columns are ignored.
     """
     cut = common.stage(pieces(docs, capacity, path, end_id, with_ids))
-    bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)).cast("int")
-    cut = cut.withColumn("bucket", bucket)
-    counted = {(r["length"], r["bucket"]): r["n"] for r in cut.groupBy("length", "bucket").agg(F.count("*").alias("n")).collect()}
-    counts: dict[int, int] = {}
-    before = {}
-    for (length, b), n in sorted(counted.items()):
-        before[length, b] = counts.get(length, 0)
-        counts[length] = counts.get(length, 0) + n
+    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    # The driver holds a number for each length and for each ``bucket_rows`` pieces.
+    each = F.lit([-(-counts.get(n, 0) // bucket_rows) or 1 for n in range(1, capacity + 1)])
+    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.element_at(each, F.col("length").cast("int"))).cast("int"))
+    before: dict[tuple[int, int], int] = {}
+    used: dict[int, int] = {}
+    for r in cut.groupBy("length", "bucket").agg(F.count("*").alias("n")).orderBy("length", "bucket").collect():
+        before[r["length"], r["bucket"]] = used.get(r["length"], 0)
+        used[r["length"]] = used.get(r["length"], 0) + r["n"]
     where = places(plan(counts, capacity))
     order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", "start")
     ranked = cut.withColumn("rank", F.row_number().over(order))

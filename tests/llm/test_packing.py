@@ -34,10 +34,8 @@ def test_ids_equal_the_library(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     texts = ["", " ", "a", "it's  we'll\n\n x", "Äöü çá 日本 🙂", "<|endoftext|> x", "a" * 3000, " \t\n" * 50, "1234567 89 ١٢"]
-    enc = packing.encoder()
-    assert [t.encode(x, add_special_tokens=False).ids for x in texts] == [enc.encode_ordinary(x) for x in texts]
+    assert [t.encode(x, add_special_tokens=False).ids for x in texts] == list(map(packing.tokenizer(), texts))
 
 
 def test_ids_equal_the_library_as_it_is(spark):
@@ -96,3 +94,9 @@ def test_repeated_null_and_empty(spark):
     assert len(rows) == 3 and len({(r.sequence_id, r.offset) for r in rows}) == 3
     assert all(len(r.ids) == r.length for r in rows)
     assert packing.pack(df.where("false")).collect() == []
+
+
+def test_many_buckets_of_a_length(spark):
+    rows = [(i, "a b c " * (i % 3) + "word " * (i % 40)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check_rows([r.asDict() for r in packing.pack(df, capacity=32, bucket_rows=3).collect()], rows, 32)
