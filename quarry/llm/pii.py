@@ -84,28 +84,60 @@ KINDS = (
 )
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+#: Elements that are folded one by one; longer arrays are folded block by block.
+_BLOCK = 64
+
+
+def _running(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """For each of the integers ``values`` the fold of 0, it and those before it. Arrays
+    of n elements take about 32 n + n * n / 8192 steps, and no array is grown in steps."""
+    fold = lambda array: F.aggregate(array, F.lit(0), merge)
+
+    def blocks(own: Column) -> Column:
+        last = F.floor((F.size(own) - 1) / _BLOCK).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(own, b * _BLOCK + 1, F.lit(_BLOCK)))
+        return F.when(F.size(own) > 0, _let(cut, joined)).otherwise(F.expr("cast(array() as array<int>)"))
+
+    def joined(cut: Column) -> Column:
+        def within(totals: Column) -> Column:
+            def block(x: Column, b: Column) -> Column:
+                return _let(fold(F.slice(totals, F.lit(1), b)), lambda base: F.transform(x, lambda _, i: merge(base, fold(F.slice(x, F.lit(1), i + 1)))))
+
+            return F.flatten(F.transform(cut, block))
+
+        return _let(F.transform(cut, fold), within)
+
+    return _let(values, blocks)
+
+
 def spans_of(text: Column, kind: Kind) -> Column:
     """array<struct<start, end, kind, score>> of the confirmed spans of one kind."""
     pieces = F.split(text, kind.pattern, -1)
     matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     none = F.expr("cast(array() as array<struct<start: int, end: int, kind: string, score: double>>)")
 
-    def step(state: Column, item: Column) -> Column:
-        start = state["at"] + F.length(item["before"])
-        end = start + F.length(item["match"])
+    def span(item: Column, end: Column) -> Column:
         before = F.lower(F.right(item["before"], F.lit(CONTEXT)))
         has = lambda found: F.when(before.rlike(r"(?<![a-z])(?:" + "|".join(found) + ")"), 0.4).otherwise(0.0) if found else F.lit(0.0)
         score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(kind.prior) + has(kind.near) - has(kind.against)))
         keep = kind.valid(item["match"]) & (F.lit(kind.base) | (score >= KEEP))
-        span = F.struct(start.alias("start"), end.alias("end"), F.lit(kind.name).alias("kind"), F.round(score, 2).alias("score"))
-        return F.struct(end.alias("at"), F.when(keep, F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
+        start = end - F.length(item["match"])
+        return F.when(keep, F.struct(start.alias("start"), end.alias("end"), F.lit(kind.name).alias("kind"), F.round(score, 2).alias("score")))
+
+    def placed(pairs: Column) -> Column:
+        ends = _running(F.transform(pairs, lambda p: F.length(p["before"]) + F.length(p["match"])), lambda a, x: a + x)
+        return F.filter(F.zip_with(pairs, ends, span), lambda s: s.isNotNull())
 
-    pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(pieces) - 1), matches, lambda p, m: F.struct(p.alias("before"), m.alias("match")))
-    walked = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda s: s["spans"])
+    pairs = _let(pieces, lambda own: F.zip_with(F.slice(own, F.lit(1), F.size(own) - 1), matches, lambda p, m: F.struct(p.alias("before"), m.alias("match"))))
     possible = F.lit(True)
     for need in kind.needs:
         possible = possible & (text.rlike(need) if need.startswith("[") else F.contains(text, F.lit(need)))
-    return F.when(possible, walked).otherwise(none)
+    return F.when(possible, _let(pairs, placed)).otherwise(none)
 
 
 def find_pii(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, column: str = "pii") -> DataFrame:
@@ -129,12 +161,11 @@ def redact(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     found = find_pii(docs, kinds, spans)
     text = F.col("text")
 
-    def step(state: Column, span: Column) -> Column:
-        fresh = span["start"] >= state["at"]
-        gap = F.substr(text, state["at"] + 1, span["start"] - state["at"])
-        parts = F.when(fresh, F.concat(state["parts"], F.array(gap, F.concat(F.lit("<"), span["kind"], F.lit(">"))))).otherwise(state["parts"])
-        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), parts.alias("parts"))
+    def clean(reach: Column) -> Column:
+        """``reach``: how far each span and those before it go."""
+        before = F.transform(reach, lambda _, i: F.coalesce(F.get(reach, i - 1), F.lit(0)))
+        shown = F.zip_with(spans, before, lambda s, at: F.when(s["start"] >= at, F.concat(F.substr(text, at + 1, s["start"] - at), F.lit("<"), s["kind"], F.lit(">"))))
+        return F.concat(F.array_join(shown, ""), F.substr(text, F.element_at(reach, -1) + 1))
 
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("parts"))
-    clean = F.aggregate(spans, start, step, lambda s: F.concat(F.array_join(s["parts"], ""), F.substr(text, s["at"] + 1)))
+    clean = _let(_running(F.transform(spans, lambda s: s["end"]), lambda a, x: F.greatest(a, x)), clean)
     return found.withColumn("text", F.when(F.size(spans) > 0, clean).otherwise(text)).drop(spans)
