@@ -13,10 +13,10 @@ Only DataFrame operations are used. The index is broadcast while it has at most
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_LIMIT = 50_000
@@ -25,14 +25,15 @@ SALTS = 64
 
 class Rule(NamedTuple):
     """``base`` rules run on host and path joined and decide before the patterns, which
-    run on the whole url. Among rules that fit, the longest ``name`` wins, then the
-    first."""
+    run on the whole url. Among rules that fit, one that is an exception wins, then the
+    longest ``name``, then the first."""
 
     name: str
     verdict: str
     regex: str
     tokens: tuple[str, ...]
     base: bool
+    exception: bool = False
 
 
 def host_rule(name: str, verdict: str) -> Rule:
@@ -50,16 +51,121 @@ def phrase_rule(phrase: str, verdict: str) -> Rule:
     return Rule(phrase, verdict, r"(?i)(?:^|[^a-z0-9])" + "[^a-z0-9/]+".join(words) + r"(?:[^a-z0-9]|$)", tuple(words), False)
 
 
+def listed_rule(line: str) -> Rule | None:
+    """A line of a filter list in the usual syntax; None for comments, headers and lines
+    that do not speak of urls.
+
+    ``*`` is any text, ``^`` a separator or the end, ``|`` at an end the url's end and
+    ``||`` the beginning of a host or subdomain; ``@@`` makes an exception and slashes
+    around the line a regular expression. Options after ``$`` restrict where a browser
+    applies a rule and are dropped. Letters fit in either case.
+    """
+    name = line.strip()
+    body = name.removeprefix("@@")
+    exception = body != name
+    if not body or body.startswith(("!", "[")) or re.search("#[@?$]?#", body):
+        return None
+    if len(body) > 2 and body.startswith("/") and body.endswith("/"):
+        return Rule(name, "allow" if exception else "block", f"(?i){body[1:-1]}", (), False, exception)
+    body = re.sub(r"\$~?[a-z][a-z0-9,=~|._*-]*$", "", body, flags=re.IGNORECASE)
+    head, tail = "", ""
+    if body.startswith("||"):
+        head, body = r"^[a-z][a-z0-9+.-]*://(?:[^/?#]*\.)?", body[2:]
+    elif body.startswith("|"):
+        head, body = "^", body[1:]
+    if body.endswith("|"):
+        tail, body = r"\z", body[:-1]
+    if not body.strip("*"):
+        return None
+    parts = {"*": ".*", "^": r"(?:[^a-z0-9_.%-]|$)"}
+    regex = "(?i)" + head + "".join(parts.get(c) or re.escape(c) for c in body) + tail
+    # A run of letters and digits is a whole token of the url if the rule says what is next
+    # to it: another character, or an end of the url.
+    framed = ("." if head else "*") + body.lower() + ("." if tail else "*")
+    tokens = re.findall(r"(?<=[^a-z0-9*])[a-z0-9]+(?=[^a-z0-9*])", framed)
+    return Rule(name, "allow" if exception else "block", regex, tuple(dict.fromkeys(tokens)), False, exception)
+
+
+def listed_rules(lines: Iterable[str]) -> tuple[Rule, ...]:
+    """The rules of a filter list, each once."""
+    return tuple(dict.fromkeys(r for r in map(listed_rule, lines) if r))
+
+
+def read_rules(spark: SparkSession, path: str) -> tuple[Rule, ...]:
+    """The rules of the filter lists below ``path`` (text files, wherever Spark reads)."""
+    return listed_rules(r["value"] for r in spark.read.text(path).orderBy("value").collect())
+
+
 BASE_RULES = (
     host_rule("net/", "block"),
     host_rule("example.net/en/", "allow"),
     host_rule("example.com/de/", "block"),
     host_rule("org/fr/", "allow"),
 )
-PATTERN_RULES = tuple(
-    phrase_rule(p, "block")
-    for p in ("spam farm", "cheap pills", "free casino", "online casino", "adult video", "xxx", "porn", "replica watches", "payday loan", "click bait")
-)
+PHRASES = ("spam farm", "cheap pills", "free casino", "online casino", "adult video", "xxx", "porn", "replica watches", "payday loan", "click bait")
+#: What pages are rarely wanted for: advertisements, counters, log-ins, carts and feeds.
+LIST = """
+||ads.*^
+||ad.*^
+||adserver.*^
+||banner.*^
+||tracker.*^
+||tracking.*^
+||pixel.*^
+||click.*^
+/ads/*
+/adserver/*
+/advert/*
+/advertising/*
+/banners/*
+/popup/*
+/popunder/*
+/affiliate/*
+/sponsored/*
+/tracking/*
+/pixel.gif^
+/beacon.js^
+/clickthrough^
+&ad_id=
+&affiliate_id=
+?affiliate_id=
+&utm_campaign=*&utm_medium=cpc^
+/wp-login.php^
+/wp-admin/*
+/cgi-bin/*
+/login^
+/signin^
+/register^
+/logout^
+/cart^
+/checkout^
+/trackback^
+/xmlrpc.php^
+?replytocom=
+?sessionid=
+&sessionid=
+?phpsessid=
+;jsessionid=
+/feed/|
+.rss|
+.exe|
+.apk|
+.torrent|
+/viagra^
+/casino/*
+/poker/*
+/escort^
+/webcam^
+||casino.*^
+||bet.*^
+||poker.*^
+@@/docs/*
+@@/documentation/*
+@@/wiki/*
+@@||docs.*^
+@@||wiki.*^
+"""
+PATTERN_RULES = tuple(phrase_rule(p, "block") for p in PHRASES) + listed_rules(LIST.split("\n"))
 DEFAULT_VERDICT = "allow"
 
 
@@ -111,7 +217,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule] = BASE_RULES + PATTERN_R
     spark = pages.sparkSession
     urls = pages.select("page_id", "url", F.monotonically_increasing_id().alias("row"), url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     rows = [(i, *r) for i, r in enumerate(rules)]
-    table = spark.createDataFrame(rows, "id int, name string, verdict string, regex string, tokens array<string>, base boolean")
+    table = spark.createDataFrame(rows, "id int, name string, verdict string, regex string, tokens array<string>, base boolean, exception boolean")
     index = rarest_tokens(pages, table).drop("tokens").withColumn("token", F.coalesce("token", F.lit("*")))
     found = urls.withColumn("token", F.explode(F.array_append(url_tokens(F.col("url")), F.lit("*"))))
     if len(rows) <= broadcast_limit:
@@ -120,7 +226,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule] = BASE_RULES + PATTERN_R
         salted = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         candidates = found.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, ["token", "salt"], "left")
     target = F.when(F.col("base"), F.concat("host", "path")).otherwise(F.col("url"))
-    rank = F.struct("base", F.length("name").alias("n"), (-F.col("id")).alias("first"), "name", "verdict")
+    rank = F.struct("base", "exception", F.length("name").alias("n"), (-F.col("id")).alias("first"), "name", "verdict")
     hit = F.when(F.rlike(target, F.col("regex")), rank)
     best = candidates.groupBy("row").agg(F.max(hit).alias("best"), *(F.first(c).alias(c) for c in ("page_id", "host", "path")))
     base = F.coalesce(F.col("best.base"), F.lit(False))
@@ -137,14 +243,14 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule] = BASE_RULES + PATTERN_R
 def oracle_sql(rules: Sequence[Rule] = BASE_RULES + PATTERN_RULES, default: str = DEFAULT_VERDICT) -> str:
     """DuckDB SQL over ``pages`` that tries every rule on every url."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    listed = ", ".join(f"({i}, {quoted(r.name)}, {quoted(r.verdict)}, {quoted(r.regex)}, {r.base})" for i, r in enumerate(rules))
+    listed = ", ".join(f"({i}, {quoted(r.name)}, {quoted(r.verdict)}, {quoted(r.regex)}, {r.base}, {r.exception})" for i, r in enumerate(rules))
     return f"""
 with parts as (select page_id, url, row_number() over () as n,
     split_part(split_part(case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end, '#', 1), '?', 1) as place from pages),
 urls as (select page_id, url, n, translate(split_part(place, '/', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
     substr(place, length(split_part(place, '/', 1)) + 1) as path from parts),
-rules(id, name, verdict, regex, base) as (values {listed}),
-hits as (select n, base, name, verdict, row_number() over (partition by n order by base desc, length(name) desc, id) as k from urls join rules
+rules(id, name, verdict, regex, base, exception) as (values {listed}),
+hits as (select n, base, name, verdict, row_number() over (partition by n order by base desc, exception desc, length(name) desc, id) as k from urls join rules
     on regexp_matches(case when base then host || path else url end, replace(regex, '(?=/|$)', '(/|$)')))
 select page_id, host, path, case when base then name end as "rule", coalesce(verdict, '{default}') as verdict, case when not base then name end as pattern
 from urls left join (select * from hits where k = 1) using (n)"""
