@@ -148,10 +148,12 @@ def probabilities(models: list[Linear], values: list[bytes]) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], sample: int = SAMPLE, folds: int = FOLDS) -> list[Linear]:
     """Fit the chain for ``categories``, columns of ``labels`` (doc_id and 0 or 1 each)
-    in their order. Rows with a null are not used; of several for a doc_id the largest."""
+    in their order. Rows with a null are not used; of several for a doc_id the largest, and
+    of several texts the first in order."""
     known = labels.dropna(subset=["doc_id", *categories]).groupBy("doc_id").agg(*(F.max(c).alias(f"_{c}") for c in categories))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").where("text is not null").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").where("text is not null")
+    rows = rows.groupBy("doc_id", *(f"_{c}" for c in categories)).agg(F.min("text").alias("text"))
     names = [f"_{c}" for c in categories]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
