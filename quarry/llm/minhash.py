@@ -203,8 +203,8 @@ def classify(docs: DataFrame, percent: int = 85, side: int = SIDE, rows: int = R
     sets = common.stage(sets.select("s1", "s2", "at.*", "a", "b"))
     # A set goes by its least doc_id; where several sets have the same, by a hash.
     shared = common.stage(sets.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("shared")))
-    node = F.col("doc_id")
-    if not shared.isEmpty():
+    node, apart = F.col("doc_id"), shared.isEmpty()
+    if not apart:
         sets, node = sets.join(shared, "doc_id", "left"), F.when(F.col("shared"), F.xxhash64("doc_id", "s1", "s2")).otherwise(F.col("doc_id"))
     sets = common.stage(sets.select(node.alias("rep"), "s1", "s2", "doc_id", "k", "n_bytes", "a", "b"))
     groups = common.connected_components(candidate_links(sets)).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
@@ -212,9 +212,12 @@ def classify(docs: DataFrame, percent: int = 85, side: int = SIDE, rows: int = R
     texts = docs.select("doc_id", F.xxhash64("text").alias("k"), "text").where("doc_id is not null")
     links = verified_links(members, texts, percent, shingle, block)
     classes = common.stage(common.connected_components(links)).withColumnRenamed("node", "rep")
-    named = common.stage(sets.select("s1", "s2", "doc_id", "rep").join(classes, "rep", "left"))
-    least = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
-    named = named.join(least, "component", "left").select("s1", "s2", F.coalesce("least", "doc_id").alias("component_id"))
+    named = sets.select("s1", "s2", "doc_id", "rep").join(classes, "rep", "left").withColumn("least", F.col("component"))
+    if not apart:
+        named = common.stage(named.drop("least"))
+        least = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
+        named = named.join(least, "component", "left")
+    named = named.select("s1", "s2", F.coalesce("least", "doc_id").alias("component_id"))
     out = found.select("doc_id", "k", "n_shingles", "s1", "s2").join(named, ["s1", "s2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "k", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
