@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import chat, common, decontamination, fingerprint, minhash, packing, pii, resharding, suffix_dedup, toxicity, url_filter
@@ -40,7 +40,14 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+        (F.size("spans") > 0).alias("repeated"),
+    )
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,11 +95,23 @@ def chat_digests(blocks: DataFrame) -> DataFrame:
 
 
 def turn_events(turns: DataFrame) -> DataFrame:
-    """Each row (conv_id, turn, role, text) as a message event; rows that share a turn
-    are messages of their own, in order of role and text."""
+    """Each row (conv_id, turn, role, text) as the events that a chat service would log:
+    an assistant's text streams in after a first answer was regenerated, another role's
+    is posted in part and then edited. Rows that share a turn are messages of their own,
+    in order of role and text; a row without a turn is a single message."""
     again = F.row_number().over(Window.partitionBy("conv_id", "turn", "role", "text").orderBy(F.lit(0)))
     name = F.concat_ws("/", F.lpad(F.coalesce(F.col("turn"), F.lit(-1)).cast("string"), 20, "0"), F.coalesce("role", F.lit("")), F.sha2(F.coalesce("text", F.lit("")), 256), again.cast("string"))
-    return turns.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("event"), name.alias("message_id"), "role", "text")
+    text, half = F.coalesce("text", F.lit("")), F.floor(F.length("text") / 2).cast("int")
+    begin, rest = F.coalesce(F.substring("text", F.lit(1), half), F.lit("")), F.coalesce(F.substring("text", half + 1, F.length("text")), F.lit(""))
+
+    def events(*steps: tuple) -> Column:
+        return F.array(*(F.struct(F.lit(i).alias("step"), F.lit(kind).alias("event"), said.alias("said")) for i, (kind, said) in enumerate(steps)))
+
+    log = F.when(F.col("turn").isNull(), events(("message", text)))
+    log = log.when(F.col("role") == chat.TRAINED_ROLE, events(("message", F.lit("")), ("delta", begin), ("regenerate", F.lit("")), ("delta", begin), ("delta", rest)))
+    log = log.otherwise(events(("message", begin), ("edit", text)))
+    each = turns.select("conv_id", "turn", "role", "text", name.alias("message_id")).select("conv_id", "turn", "role", "message_id", F.explode(log).alias("e"))
+    return each.select("conv_id", (F.col("turn") * 8 + F.col("e.step")).alias("seq"), "e.event", "message_id", "role", F.col("e.said").alias("text"))
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
