@@ -52,7 +52,7 @@ def test_ids_equal_the_library_as_it_is(spark):
         assert [x for r in own for x in r.ids] == [*ids, packing.END_ID], i
 
 
-def check_rows(rows, docs):
+def check_rows(rows, docs, capacity=1024):
     enc = packing.encoder()
     got = {}
     for r in rows:
@@ -64,9 +64,9 @@ def check_rows(rows, docs):
         for k, r in enumerate(own):
             assert (r["piece"], r["start"]) == (k, at)
             assert r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
-            assert r["length"] <= 1024 and (k == 0 or r["length"] == 1024)
+            assert r["length"] <= capacity and (k == 0 or r["length"] == capacity)
             at += r["length"]
-        assert at == len(ids) and (len(own) == 1 or len(ids) > 1024)
+        assert at == len(ids) and (len(own) == 1 or len(ids) > capacity)
     bins = {}
     for r in rows:
         bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
@@ -75,9 +75,9 @@ def check_rows(rows, docs):
         for offset, n in sorted(slots):
             assert offset == at
             at += n
-        assert at <= 1024
+        assert at <= capacity
     total = sum(r["length"] for r in rows)
-    return len(bins), -(-total // 1024)
+    return len(bins), -(-total // capacity)
 
 
 def test_packs_documents(spark):
