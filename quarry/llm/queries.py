@@ -128,9 +128,10 @@ def op7_min_cost_flow_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.scratch_dir(spark)
     affected = resharding.rewrite(placed, moves, path)
     written = spark.read.schema("doc_id long, text string, size long, slot long, shard int").parquet(path) if affected else placed.where("false").drop("old_shard")
-    kept = placed.where(~F.col("shard").isin(affected)).drop("old_shard")
+    if len(affected) < resharding.NEW_SHARDS:
+        written = written.unionByName(placed.where(~F.col("shard").isin(affected)).drop("old_shard"))
     text = F.coalesce("text", F.lit(""))
-    return written.unionByName(kept).select(
+    return written.select(
         "doc_id",
         (F.octet_length(text) + resharding.OVERHEAD).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),

@@ -5,8 +5,9 @@ nothing where it stays and one where it moves. The flow gives block transfers be
 shards. Within an old shard documents stand in order of size class, large ones first, so
 that the cuts between blocks fall on small documents; a document belongs to the block
 that holds its middle byte. Running positions come from sums over (shard, class, part),
-of which the driver holds one number each, and from a window inside a part, so no task
-sees a whole shard.
+of which the driver holds one number each, and from a window inside a part. A class of a
+shard has a part for every ``PART_BYTES`` that it holds, so no task sees a whole shard
+and parts are alike in size.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from . import common
 OVERHEAD = 16
 OLD_SHARDS = 32
 NEW_SHARDS = 40
+PART_BYTES = 64 << 20
 
 
 def min_cost_flow(supply: Sequence[int], demand: Sequence[int], cost: Sequence[Sequence[int]]) -> list[tuple[int, int, int]]:
@@ -84,7 +86,7 @@ def transfers(old_sizes: Sequence[int], capacities: Sequence[int]) -> list[tuple
     return min_cost_flow(old_sizes, capacities, cost)
 
 
-def reshard(docs: DataFrame, old_shard, new_shards: int = NEW_SHARDS, old_shards: int = OLD_SHARDS) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+def reshard(docs: DataFrame, old_shard, new_shards: int = NEW_SHARDS, old_shards: int = OLD_SHARDS, part_bytes: int = PART_BYTES) -> tuple[DataFrame, list[tuple[int, int, int]]]:
     """The rows of ``docs`` (doc_id, text) with size, old_shard, shard and slot, and the
     transfers made. ``old_shard``: column with the number of the shard that holds a row.
 
@@ -94,12 +96,16 @@ def reshard(docs: DataFrame, old_shard, new_shards: int = NEW_SHARDS, old_shards
     """
     spark = docs.sparkSession
     parts = common.n_partitions(spark)
-    each = max(1, -(-parts // old_shards))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + OVERHEAD
     docs = docs.select("doc_id", "text", size.alias("size"), F.xxhash64("text").alias("tie"), old_shard.cast("int").alias("old_shard"))
-    docs = docs.withColumn("class", F.floor(F.log2(F.col("size").cast("double"))).cast("int")).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(each)).cast("int"))
+    docs = docs.withColumn("class", F.floor(F.log2(F.col("size").cast("double"))).cast("int"))
     block = ["old_shard", "class", "part"]
     light = common.stage(docs.drop("text"))
+    # One row for each class of a shard: at most ``old_shards`` times 64.
+    each = [(r["old_shard"], r["class"], -(-r["bytes"] // part_bytes)) for r in light.groupBy("old_shard", "class").agg(F.sum("size").alias("bytes")).collect()]
+    each = F.broadcast(spark.createDataFrame(each or [(0, 0, 1)], "old_shard int, class int, each long"))
+    seeded = F.pmod(F.xxhash64("doc_id", "tie", F.lit(1)), F.col("each")).cast("int")
+    light, docs = (x.join(each, ["old_shard", "class"]).withColumn("part", seeded).drop("each") for x in (light, docs))
     sums = sorted((r["old_shard"], -r["class"], r["part"], r["bytes"]) for r in light.groupBy(*block).agg(F.sum("size").alias("bytes")).collect())
     start, held = [], [0] * old_shards
     for old, c, part, amount in sums:
@@ -118,7 +124,7 @@ def reshard(docs: DataFrame, old_shard, new_shards: int = NEW_SHARDS, old_shards
     order = Window.partitionBy(*block).orderBy(F.desc("size"), "doc_id", "tie")
 
     def placed(rows: DataFrame) -> DataFrame:
-        rows = rows.repartition(max(parts, 1), "old_shard", "part")
+        rows = rows.repartition(max(parts, 1), *block)
         rows = rows.withColumn("run", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         rows = rows.join(F.broadcast(first), block).join(F.broadcast(choice), "old_shard")
         middle = F.col("base") + F.col("run") - F.expr("size - size div 2")
