@@ -97,15 +97,15 @@ def main(argv: list[str] | None = None, spark=None, engine: Engine | None = None
     if args.command in ("sync", "update", "embed"):
         return sync()
     if args.command == "search":
-        return show(search.bm25(store.documents(), query, args.collection, args.limit, stemmed=True))
+        return show(search.bm25(store.source(), query, args.collection, args.limit, stemmed=True))
     if args.command == "vsearch":
         from quarry.models import QUERY_PREFIX
 
         vector = engine.embed(QUERY_PREFIX + query, True)
-        return show(search.vector_search(store.documents(), store.read("vectors"), vector, args.collection, args.limit))
+        return show(search.vector_search(store.source(), store.read("vectors"), vector, args.collection, args.limit))
     if args.command in ("query", "smart"):
         run = hybrid.hybrid if args.command == "query" else hybrid.smart
-        return show(run(store.documents(), store.read("vectors"), engine, query, args.collection, args.limit, True))
+        return show(run(store.source(), store.read("vectors"), engine, query, args.collection, args.limit, True))
     if args.command == "get":
         row = lookup.get_document(store.documents(), args.reference).first()
         print(json.dumps(row.asDict(), ensure_ascii=False) if row else "not found")

@@ -53,7 +53,8 @@ ACCENTED, BARE = _accents()
 def tokens(text: Column) -> Column:
     """Runs of letters, numbers and private-use characters, in lower case, without
     diacritics."""
-    plain = F.translate(F.lower(text), ACCENTED, BARE)
+    ascii_only = F.length(text) == F.octet_length(text)
+    plain = F.when(ascii_only, F.lower(text)).otherwise(F.translate(F.lower(text), ACCENTED, BARE))
     return F.regexp_extract_all(plain, F.lit(TOKEN), F.lit(0))
 
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+import re
+import time
+import uuid
+from collections.abc import Callable, Sequence
 from typing import NamedTuple, Protocol
 
 import numpy as np
@@ -71,6 +74,48 @@ class HashingEngine(StubEngine):
         return (out / length if length else out).tolist()
 
 
+class WorkerEngine(StubEngine):
+    """An engine that every Python worker makes for itself, once, from ``make`` (a function
+    that can be sent to workers) and drops after ``idle`` seconds without a call. Texts
+    are cut to ``max_tokens`` of the engine's own tokens, or of words if it has no
+    ``clip``."""
+
+    has_embedder = True
+    _made: dict = {}
+
+    def __init__(self, make: Callable[[], Engine], idle: float = 300.0, max_tokens: int = 2048) -> None:
+        self.make, self.idle, self.max_tokens, self.key = make, idle, max_tokens, uuid.uuid4().hex
+
+    def engine(self) -> Engine:
+        now = time.monotonic()
+        for key, (_, last, idle) in list(self._made.items()):
+            if now - last > idle:
+                del self._made[key]
+        held = self._made.get(self.key)
+        engine = held[0] if held else self.make()
+        self._made[self.key] = (engine, now, self.idle)
+        return engine
+
+    def embed(self, text: str, is_query: bool) -> Sequence[float]:
+        engine = self.engine()
+        clip = getattr(engine, "clip", clip_words)
+        return engine.embed(clip(text, self.max_tokens), is_query)
+
+    def expand(self, query: str) -> list[tuple[str, str]]:
+        return self.engine().expand(query)
+
+    def rerank(self, query: str, texts: Sequence[str]) -> list[float]:
+        return self.engine().rerank(query, texts)
+
+
+def clip_words(text: str, n: int) -> str:
+    """``text`` up to the end of its ``n``-th word."""
+    for k, m in enumerate(re.finditer(r"\S+", text), 1):
+        if k == n:
+            return text[: m.end()]
+    return text
+
+
 def embed_all(engine: Engine, texts: Sequence[str]) -> list[Sequence[float]]:
     """Vectors of documents; fails as a whole with the first that fails."""
     return [engine.embed(t, False) for t in texts]

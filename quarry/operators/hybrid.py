@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from quarry.models import QUERY_PREFIX, Engine, NoModelError
 from quarry.operators import search
 from quarry.operators.query import QuerySyntaxError
+from quarry.operators.search import Source
 from quarry.schemas import LIMIT, LIST_DEPTH, RERANKED
 
 
-def keyword(docs: DataFrame, query: str, collection: str | None, limit: int, stemmed: bool = False) -> DataFrame:
+def keyword(docs: Source, query: str, collection: str | None, limit: int, stemmed: bool = False) -> DataFrame:
     if collection:
         return search.bm25(docs, query, collection, limit, stemmed=stemmed)
     return search.bm25_normalized(docs, query, limit, stemmed=stemmed)
@@ -41,7 +42,7 @@ def blend(fused: DataFrame, scores: DataFrame | None, limit: int) -> DataFrame:
     return mixed.where(F.col("rank") < limit).select("rank", *search.RESULT, "score")
 
 
-def hybrid(docs: DataFrame, chunks: DataFrame, engine: Engine, query: str, collection: str | None = None, limit: int = LIMIT, stemmed: bool = False) -> DataFrame:
+def hybrid(docs: Source, chunks: DataFrame, engine: Engine, query: str, collection: str | None = None, limit: int = LIMIT, stemmed: bool = False) -> DataFrame:
     """Lists of 20 for the query (weight 2) and its expansions (weight 1), fused, the
     best 30 reranked and blended. A list that fails is left out."""
     asked = [(query, 2.0, ("lex", "vec"))] + [(q, 1.0, (kind,)) for q, kind in engine.expand(query)]
@@ -57,18 +58,19 @@ def hybrid(docs: DataFrame, chunks: DataFrame, engine: Engine, query: str, colle
             except (QuerySyntaxError, NoModelError):
                 continue
     if not lists:
-        return docs.where("false").select(F.lit(0).alias("rank"), *search.RESULT, F.lit(0.0).alias("score"))
+        return search.table(docs).where("false").select(F.lit(0).alias("rank"), *search.RESULT, F.lit(0.0).alias("score"))
     fused = weighted_fusion(lists)
     rows = fused.orderBy("rank").collect()
     if not rows:
         return fused
     given = engine.rerank(query, [f"{r['title']} " for r in rows])
-    scores = docs.sparkSession.createDataFrame([(r["docid"], float(s)) for r, s in zip(rows, given)], "docid string, rerank double")
-    kept = docs.sparkSession.createDataFrame(rows, fused.schema)
+    spark = search.table(docs).sparkSession
+    scores = spark.createDataFrame([(r["docid"], float(s)) for r, s in zip(rows, given)], "docid string, rerank double")
+    kept = spark.createDataFrame(rows, fused.schema)
     return blend(kept, scores, limit)
 
 
-def feedback(docs: DataFrame, chunks: DataFrame, query: str, collection: str | None = None, limit: int = LIMIT, stemmed: bool = False) -> DataFrame:
+def feedback(docs: Source, chunks: DataFrame, query: str, collection: str | None = None, limit: int = LIMIT, stemmed: bool = False) -> DataFrame:
     """Pseudo-relevance feedback without models: the mean vector of the best 20 keyword
     results searches all vectors; both are fused. Where a step finds nothing, the keyword
     results stand."""
@@ -81,7 +83,7 @@ def feedback(docs: DataFrame, chunks: DataFrame, query: str, collection: str | N
     return search.simple_fusion(first, near, limit)
 
 
-def smart(docs: DataFrame, chunks: DataFrame, engine: Engine, query: str, collection: str | None = None, limit: int = LIMIT, stemmed: bool = False) -> DataFrame:
+def smart(docs: Source, chunks: DataFrame, engine: Engine, query: str, collection: str | None = None, limit: int = LIMIT, stemmed: bool = False) -> DataFrame:
     """Hybrid with all models; plain BM25 fused with vectors with an embedder; else BM25."""
     if engine.has_embedder and engine.has_expander and engine.has_reranker:
         return hybrid(docs, chunks, engine, query, collection, limit, stemmed)
@@ -95,10 +97,10 @@ def smart(docs: DataFrame, chunks: DataFrame, engine: Engine, query: str, collec
     return search.simple_fusion(words, search.vector_search(docs, chunks, vector, collection, 2 * limit), limit)
 
 
-def research(docs: DataFrame, chunks: DataFrame, query: str, vector=None, collection: str | None = None, limit: int = LIMIT, min_score: float = 0.0, stemmed: bool = False) -> DataFrame:
+def research(docs: Source, chunks: DataFrame, query: str, vector=None, collection: str | None = None, limit: int = LIMIT, min_score: float = 0.0, stemmed: bool = False) -> DataFrame:
     """Keyword (normalised without a collection) and vector results of twice the depth,
     fused; scores below ``min_score`` go. Either side may be missing."""
-    empty = docs.where("false").select(F.lit(0).alias("rank"), *search.RESULT, F.lit(0.0).alias("score"))
+    empty = search.table(docs).where("false").select(F.lit(0).alias("rank"), *search.RESULT, F.lit(0.0).alias("score"))
     try:
         words = keyword(docs, query, collection, 2 * limit, stemmed)
     except QuerySyntaxError:

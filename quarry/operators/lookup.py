@@ -65,7 +65,7 @@ def attach_notes(results: DataFrame, stale: DataFrame) -> DataFrame:
     """Adds the stale note of its docid, the last one, to a result's context."""
     last = stale.groupBy("docid").agg(F.max_by("note", F.struct("ord")).alias("note")) if "ord" in stale.columns else stale.groupBy("docid").agg(F.max("note").alias("note"))
     tagged = F.concat(F.coalesce("context", F.lit("")), F.lit(" [STALE observation: "), F.col("note"), F.lit("]"))
-    joined = results.join(F.broadcast(last), "docid", "left")
+    joined = results.join(last, "docid", "left")
     return joined.withColumn("context", F.when(F.col("note").isNotNull(), tagged).otherwise(F.col("context"))).drop("note")
 
 

@@ -1,11 +1,14 @@
 """Ranked retrieval: BM25, collection-normalised BM25 and exact vector search.
 
-Documents come as a DataFrame with id, collection, path, title, docid, hash, active,
-doc_len and content. Results have rank (from 0), docid, path, title, context and score.
+Documents come as an :class:`Index`, from which keyword scores are read without a look at
+any text, or as a DataFrame with id, collection, path, title, docid, hash, active, doc_len
+and content, which is then tokenised. Results have rank (from 0), docid, path, title,
+context and score.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -14,10 +17,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions import text, vectors
+from quarry.operators import index
+from quarry.operators.index import Index
 from quarry.operators.query import FIELDS, Phrase, parse
 from quarry.schemas import B, FALLBACK_LENGTH, FIELD_WEIGHTS, K1, LIMIT, RRF_K, TARGET_B
 
 RESULT = ("docid", "path", "title", "context")
+Source = DataFrame | Index
+
+
+def table(source: Source) -> DataFrame:
+    """The documents of a source as rows."""
+    return source.documents if isinstance(source, Index) else source
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -68,13 +79,24 @@ def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), lambda x: body(x))[0]
 
 
-def _scored(docs: DataFrame, phrases: Sequence[Phrase], stemmed: bool) -> tuple[DataFrame, dict]:
-    """Rows that hold every phrase, with their raw score, and the statistics.
+def _term(rows: float, n: Column, f: Column, tokens: Column, average: float) -> Column:
+    """What a phrase that ``n`` of ``rows`` documents hold adds to a score."""
+    idf = F.ln((F.lit(float(rows)) - n + 0.5) / (n + 0.5))
+    idf = F.when(idf <= 0, 1e-6).otherwise(idf)
+    return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * tokens / F.lit(average)))
+
+
+def _scored(docs: Source, phrases: Sequence[Phrase], stemmed: bool) -> tuple[DataFrame, float]:
+    """Active rows that hold every phrase, with their raw score, and the mean length.
 
     Statistics cover all rows, inactive ones included and whatever the collection: rows
     N, rows n with the phrase in an allowed field, mean tokens of a row. The mean length
     of the later correction covers active documents that have one.
     """
+    if isinstance(docs, Index):
+        found, counts = index.weighted(docs, phrases, stemmed)
+        score = sum((_term(docs.rows, n, F.col(f"f{i}"), F.col("tokens"), docs.tokens) for i, n in enumerate(counts)), F.lit(0.0))
+        return found.where("active").withColumn("score", score), docs.length
     docs = with_tokens(docs, stemmed)
 
     def counts(row: Column) -> Column:
@@ -102,13 +124,19 @@ def _scored(docs: DataFrame, phrases: Sequence[Phrase], stemmed: bool) -> tuple[
     ).first()
     score = F.lit(0.0)
     for i in range(len(phrases)):
-        n = F.lit(float(stats[f"n{i}"]))
-        idf = F.ln((F.lit(float(stats["rows"])) - n + 0.5) / (n + 0.5))
-        idf = F.when(idf <= 0, 1e-6).otherwise(idf)
-        f = F.col(f"f{i}")
-        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("tokens") / F.lit(stats["tokens"] or 1.0)))
+        score = score + _term(stats["rows"], F.lit(float(stats[f"n{i}"])), F.col(f"f{i}"), F.col("tokens"), stats["tokens"] or 1.0)
     matched = docs.where(" and ".join(f"any{i} > 0" for i in range(len(phrases)))).where("active")
-    return matched.withColumn("score", score), {"length": stats["length"] or FALLBACK_LENGTH}
+    return matched.withColumn("score", score), stats["length"] or FALLBACK_LENGTH
+
+
+def _shown(docs: Source, found: DataFrame, limit: int, per: str | None = None) -> DataFrame:
+    """Rows of ``found`` that can be among the ``limit`` best (of each ``per``), ties of
+    score and docid included, with path, title and context."""
+    if not isinstance(docs, Index):
+        return found
+    order = Window.partitionBy(*([per] if per else [])).orderBy(F.desc("score"), "docid")
+    near = found.withColumn("near", F.rank().over(order)).where(F.col("near") <= limit).drop("near")
+    return docs.documents.select("id", "path", "title", "context").join(near, "id")
 
 
 def length_factor(doc_len: Column, average: float, intended: bool = False) -> Column:
@@ -120,35 +148,48 @@ def length_factor(doc_len: Column, average: float, intended: bool = False) -> Co
     return F.when(doc_len > 0, factor).otherwise(1.0)
 
 
-def bm25(docs: DataFrame, query: str | Sequence[Phrase], collection: str | None = None, limit: int = LIMIT, corrected: bool = True, intended: bool = False, stemmed: bool = False) -> DataFrame:
+def bm25(docs: Source, query: str | Sequence[Phrase], collection: str | None = None, limit: int = LIMIT, corrected: bool = True, intended: bool = False, stemmed: bool = False) -> DataFrame:
     """The ``limit`` active documents with the best raw score, in order of the score
     after length correction. Ties go by docid and path."""
     phrases = parse(query, stemmed) if isinstance(query, str) else query
-    found, stats = _scored(docs, phrases, stemmed)
+    found, average = _scored(docs, phrases, stemmed)
     if collection:
         found = found.where(F.col("collection") == collection)
-    top = found.orderBy(F.desc("score"), "docid", "path").limit(limit)
+    top = _shown(docs, found, limit).orderBy(F.desc("score"), "docid", "path").limit(limit)
     if corrected:
-        top = top.withColumn("score", F.col("score") * length_factor(F.col("doc_len"), stats["length"], intended))
+        top = top.withColumn("score", F.col("score") * length_factor(F.col("doc_len"), average, intended))
     order = Window.orderBy(F.desc("score"), "docid", "path")
     return top.select((F.row_number().over(order) - 1).alias("rank"), *RESULT, "score")
 
 
-def active_collections(docs: DataFrame) -> DataFrame:
-    return docs.where("active").select("collection").distinct()
+def with_snippets(result: DataFrame, docs: DataFrame, query: str | Sequence[Phrase], width: int = 160) -> DataFrame:
+    """``result`` with ``snippet``: ``width`` characters of the content around the first
+    word of the query, or its beginning where only title or docid fit."""
+    phrases = parse(query) if isinstance(query, str) else query
+    words = sorted({t for p in phrases for t in p.terms}, key=lambda t: (-len(t), t))
+    pattern = "(?<![\\p{L}\\p{N}])(?:" + "|".join(map(re.escape, words)) + ")" if words else "(?!)"
+    own = docs.select("docid", "path", F.coalesce("content", F.lit("")).alias("content"))
+    at = F.greatest(F.regexp_instr(F.lower("content"), F.lit(pattern)) - width // 4, F.lit(1))
+    near = own.join(F.broadcast(result.select("docid", "path")), ["docid", "path"], "left_semi")  # the result's rows, a limited number
+    shown = near.select("docid", "path", F.regexp_replace(F.substr("content", at, F.lit(width)), r"\s+", " ").alias("snippet")).dropDuplicates(["docid", "path"])
+    return result.join(shown, ["docid", "path"], "left").select(*result.columns, "snippet")
+
+
+def active_collections(docs: Source) -> DataFrame:
+    return table(docs).where("active").select("collection").distinct()
 
 
-def bm25_normalized(docs: DataFrame, query: str | Sequence[Phrase], limit: int = LIMIT, stemmed: bool = False) -> DataFrame:
+def bm25_normalized(docs: Source, query: str | Sequence[Phrase], limit: int = LIMIT, stemmed: bool = False) -> DataFrame:
     """BM25 in each collection, fused by reciprocal rank so that small collections count.
     With at most one active collection it is plain BM25. All collections are ranked in
     one pass; equal contents share a docid and add up."""
     if active_collections(docs).limit(2).count() <= 1:
         return bm25(docs, query, None, limit, stemmed=stemmed)
     phrases = parse(query, stemmed) if isinstance(query, str) else query
-    found, stats = _scored(docs, phrases, stemmed)
+    found, average = _scored(docs, phrases, stemmed)
     own = Window.partitionBy("collection").orderBy(F.desc("score"), "docid", "path")
-    top = found.withColumn("raw", F.row_number().over(own)).where(F.col("raw") <= limit)
-    top = top.withColumn("score", F.col("score") * length_factor(F.col("doc_len"), stats["length"]))
+    top = _shown(docs, found, limit, "collection").withColumn("raw", F.row_number().over(own)).where(F.col("raw") <= limit)
+    top = top.withColumn("score", F.col("score") * length_factor(F.col("doc_len"), average))
     lists = top.withColumn("rank", F.row_number().over(own) - 1)
     return fuse(lists.select(F.col("collection").alias("list"), F.lit(1.0).alias("weight"), "rank", *RESULT), limit)
 
@@ -201,10 +242,11 @@ def one_document(docs: DataFrame) -> DataFrame:
     return docs.where("active").groupBy("hash").agg(shown.alias("doc")).select("hash", "doc.*")
 
 
-def vector_search(docs: DataFrame, chunks: DataFrame, query: Sequence[float], collection: str | None = None, limit: int = LIMIT, min_score: float = 0.0) -> DataFrame:
+def vector_search(docs: Source, chunks: DataFrame, query: Sequence[float], collection: str | None = None, limit: int = LIMIT, min_score: float = 0.0) -> DataFrame:
     """The ``limit`` most similar contents, each with one of its documents. A content
     takes its place before documents are looked up, so fewer rows may come back; the
     lookup is not restricted to the collection. ``min_score`` applies last."""
+    docs = table(docs)
     if collection:
         chunks = chunks.join(docs.where(F.col("active") & (F.col("collection") == collection)).select("hash").distinct(), "hash", "left_semi")
     top = similar_chunks(chunks, query).orderBy(F.desc("sim"), "hash").limit(limit)
@@ -215,9 +257,9 @@ def vector_search(docs: DataFrame, chunks: DataFrame, query: Sequence[float], co
     return found.select((F.row_number().over(order) - 1).alias("rank"), *RESULT, F.col("sim").alias("score"))
 
 
-def centroid(docs: DataFrame, chunks: DataFrame, docids: Sequence[str]) -> list[float]:
+def centroid(docs: Source, chunks: DataFrame, docids: Sequence[str]) -> list[float]:
     """The normalised mean of the vectors of these documents; empty without any."""
-    hashes = docs.where(F.col("active") & F.col("docid").isin(list(docids))).select("hash").distinct()
+    hashes = table(docs).where(F.col("active") & F.col("docid").isin(list(docids))).select("hash").distinct()
     own = chunks.join(F.broadcast(hashes), "hash", "left_semi").where(F.col("vec").isNotNull() & (F.size("vec") > 1))
     sums = own.select(F.posexplode("vec").alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     values = [r["x"] for r in sums.orderBy("i").collect()]

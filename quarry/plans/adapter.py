@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text
+from quarry.operators import index as inverted
+from quarry.operators.index import Index
+from quarry.sources import shared
 
 INACTIVE = "src7"
 
@@ -32,6 +35,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_indexes: dict[tuple, tuple[str, bool]] = {}
+
+
+def index(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> Index:
+    """The index of :func:`documents`, all of them. It is built in the shared folder when
+    this session first asks for it and again when the table's files change."""
+    files = read(spark, sf_dir, "documents").inputFiles()
+    key = (spark.sparkContext.applicationId, sf_dir, *sorted(shared.state(spark, f) for f in files))
+    path, has_stems = _indexes.get(key, (None, False))
+    if path is None or stemmed and not has_stems:
+        path = shared.new_folder(spark)
+        inverted.build(documents(spark, sf_dir), path, stemmed)
+        _indexes[key] = path, stemmed
+    return inverted.load(spark, path, stemmed)
+
+
 def collections(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("collection").alias("name")).distinct()
 

@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text, vectors
+from quarry.models import StubEngine
 from quarry.operators import chunker, hybrid, lookup, search
-from quarry.operators.query import expansions, parse
+from quarry.operators.index import stem
+from quarry.operators.query import LINE_MARKS, expansions, parse
 from quarry.plans import adapter
 from quarry.plans.adapter import DOCS, SEVERAL, VECTORS
 from quarry.plans.oracle import TOKENS, fused, nearest, normalized, result, scores, simple, statement, top
+from quarry.plans.stems import STEMMED_TOKENS, stems
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -76,9 +79,9 @@ def token_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("doc_freq", statement(TOKENS, tail="select term, count(distinct id) as n_docs, count(*) as n_tokens from (select id, unnest(toks) as term from tok where fld = 'content') group by 1"))
 def doc_freq(spark: SparkSession, sf: str) -> DataFrame:
-    """Counted per document first, so a frequent term is one row a document."""
-    own = _tokens(spark, sf).select("id", F.explode("t_content").alias("term")).groupBy("id", "term").agg(F.count("*").alias("n"))
-    return own.groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"))
+    """A posting is a document's occurrences of a term, so the index is counted as it is."""
+    own = adapter.index(spark, sf).postings.where("field = 'content'")
+    return own.groupBy("term").agg(F.count("*").alias("n_docs"), F.sum(F.size("positions")).alias("n_tokens"))
 
 
 @register("prefix_freq", statement(TOKENS, tail="select left(term, 2) as prefix, count(distinct id) as n_docs from (select id, unnest(toks) as term from tok) group by 1"))
@@ -99,7 +102,7 @@ def avg_doc_len(spark: SparkSession, sf: str) -> DataFrame:
 
 def _bm25(name: str, query: str, corrected: bool = False, collection: str | None = None, intended: bool = False) -> None:
     sql = result(TOKENS, scores(parse(query), intended=intended), top("raw", "found", 10, collection, corrected), of="found")
-    register(name, sql)(lambda spark, sf: ranked(search.bm25(adapter.documents(spark, sf), query, collection, 10, corrected, intended)))
+    register(name, sql)(lambda spark, sf: ranked(search.bm25(adapter.index(spark, sf), query, collection, 10, corrected, intended)))
 
 
 _bm25("bm25_single", ONE)
@@ -107,21 +110,23 @@ _bm25("bm25_and", PAIR)
 _bm25("bm25_phrase", PHRASE)
 _bm25("bm25_weights", TITLE)
 _bm25("bm25_docid_zero", HEX)
+_bm25("bm25_first", "^th")
+_bm25("bm25_joined", "of+th")
 _bm25("bm25_collection", PAIR, corrected=True, collection="de")
 _bm25("bm25_length_corrected", PAIR, corrected=True)
 _bm25("bm25_length_intended", PAIR, corrected=True, intended=True)
 
 
-@register("bm25_inactive", statement(TOKENS, scores(parse(ONE)), tail="select id as doc_id, round(raw, 6) as score from raw where collection = 'en'"))
+@register("bm25_inactive", statement(TOKENS, scores(parse(ONE)), tail="select id as doc_id, round(raw, 6) as score from raw"))
 def bm25_inactive(spark: SparkSession, sf: str) -> DataFrame:
-    """Scores of all active English matches; inactive documents count in the statistics."""
-    found, _ = search._scored(adapter.documents(spark, sf), parse(ONE), False)
-    return found.where("collection = 'en'").select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+    """Scores of all active matches; inactive documents count in the statistics."""
+    found, _ = search._scored(adapter.index(spark, sf), parse(ONE), False)
+    return found.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @register("bm25_normalized", result(TOKENS, scores(parse(PAIR)), normalized("raw", "found", 10), of="found"))
 def bm25_normalized(spark: SparkSession, sf: str) -> DataFrame:
-    return ranked(search.bm25_normalized(adapter.documents(spark, sf), PAIR, 10))
+    return ranked(search.bm25_normalized(adapter.index(spark, sf), PAIR, 10))
 
 
 # --- vectors ----------------------------------------------------------------------------
@@ -144,6 +149,19 @@ _cosine("cosine_collection", collection="fr")
 _cosine("cosine_min_score", least=0.3)
 
 
+_ODD = """odd as (select hash, 0 as seq, case label % 4 when 0 then embedding[1:63]::double[] when 1 then [0.0::double for x in embedding] else embedding::double[] end as vec from docs join embeddings on vec_id = id)"""
+
+
+@register("cosine_odd_vectors", statement(_ODD, tail=f"select hash, round(max(list_cosine_similarity(vec, v)), 6) as sim from odd, ({_q(0)}) where len(vec) = len(v) and list_dot_product(vec, vec) > 0 group by 1 having max(list_cosine_similarity(vec, v)) > 0"))
+def cosine_odd_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of another dimension and without length among the others."""
+    docs = adapter.documents(spark, sf)
+    raw = adapter.read(spark, sf, "embeddings")
+    vec = F.when(F.col("label") % 4 == 0, F.slice("embedding", 1, 63)).when(F.col("label") % 4 == 1, F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding"))
+    odd = docs.select("id", "hash").join(raw.select(F.col("vec_id").alias("id"), vec.alias("vec")), "id")
+    return search.similar_chunks(odd, adapter.vector(spark, sf, 0)).select("hash", F.round("sim", 6).alias("sim"))
+
+
 @register("cosine_max_per_doc", statement(SEVERAL, tail=f"select hash, round(max(list_cosine_similarity(vec::double[], v)), 6) as sim from vectors, ({_q(0)}) where vec is not null group by 1 having max(list_cosine_similarity(vec::double[], v)) > 0"))
 def cosine_max_per_doc(spark: SparkSession, sf: str) -> DataFrame:
     docs = adapter.documents(spark, sf)
@@ -156,8 +174,8 @@ _CENTROID = """select list(x order by i) as v from (select i, avg(x) as x from (
 
 @register("centroid_prf", result(TOKENS, VECTORS, scores(parse(ONE)), normalized("raw", "seed", 20), nearest(_CENTROID, "near", 10), simple("seed", "near", "found", 10), of="found"))
 def centroid_prf(spark: SparkSession, sf: str) -> DataFrame:
-    docs = adapter.documents(spark, sf)
-    return ranked(hybrid.feedback(docs, adapter.vectors(spark, sf, docs), ONE, None, 10))
+    docs = adapter.index(spark, sf)
+    return ranked(hybrid.feedback(docs, adapter.vectors(spark, sf, docs.documents), ONE, None, 10))
 
 
 # --- fusion -----------------------------------------------------------------------------
@@ -165,15 +183,34 @@ def centroid_prf(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("rrf_simple", result(TOKENS, VECTORS, scores(parse(PAIR)), top("raw", "words", 20), nearest(_q(0), "near", 20), simple("words", "near", "found", 10), of="found"))
 def rrf_simple(spark: SparkSession, sf: str) -> DataFrame:
-    docs = adapter.documents(spark, sf)
-    near = search.vector_search(docs, adapter.vectors(spark, sf, docs), adapter.vector(spark, sf, 0), None, 20)
+    docs = adapter.index(spark, sf)
+    near = search.vector_search(docs, adapter.vectors(spark, sf, docs.documents), adapter.vector(spark, sf, 0), None, 20)
     return ranked(search.simple_fusion(search.bm25(docs, PAIR, None, 20), near, 10))
 
 
 @register("research_merge", result(TOKENS, VECTORS, scores(parse(PAIR)), normalized("raw", "words", 20), nearest(_q(0), "near", 20), simple("words", "near", "merged", 10), "found as (select * from merged where score >= 0.016)", of="found"))
 def research_merge(spark: SparkSession, sf: str) -> DataFrame:
-    docs = adapter.documents(spark, sf)
-    return ranked(hybrid.research(docs, adapter.vectors(spark, sf, docs), PAIR, adapter.vector(spark, sf, 0), None, 10, 0.016))
+    docs = adapter.index(spark, sf)
+    return ranked(hybrid.research(docs, adapter.vectors(spark, sf, docs.documents), PAIR, adapter.vector(spark, sf, 0), None, 10, 0.016))
+
+
+class EmbedderOnly(StubEngine):
+    """The vector of number 0 for every text."""
+
+    has_embedder = True
+
+    def __init__(self, spark: SparkSession, sf: str) -> None:
+        self.vector = adapter.vector(spark, sf, 0)
+
+    def embed(self, asked: str, is_query: bool) -> list[float]:
+        return self.vector
+
+
+@register("smart_search", result(TOKENS, VECTORS, scores(parse(PAIR)), top("raw", "words", 20), nearest(_q(0), "near", 20), simple("words", "near", "found", 10), of="found"))
+def smart_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The command line's search with an embedder and no other model."""
+    docs = adapter.index(spark, sf)
+    return ranked(hybrid.smart(docs, adapter.vectors(spark, sf, docs.documents), EmbedderOnly(spark, sf), PAIR, None, 10))
 
 
 _LISTS = " union all ".join(f"select '{i:03d}' as list, {w:.1f} as weight, rank, docid, path, title from {t}" for i, (t, w) in enumerate((("w1", 2), ("n1", 2), ("w2", 1), ("n2", 1))))
@@ -200,8 +237,8 @@ class TableEngine:
 
 @register("hybrid_weighted_rrf", result(*_HYBRID, of="fusion"))
 def hybrid_weighted_rrf(spark: SparkSession, sf: str) -> DataFrame:
-    docs = adapter.documents(spark, sf)
-    chunks = adapter.vectors(spark, sf, docs)
+    docs = adapter.index(spark, sf)
+    chunks = adapter.vectors(spark, sf, docs.documents)
     lists = []
     for query, number, weight in ((PAIR, 0, 2.0), (OTHER, 1, 1.0)):
         lists.append((search.bm25_normalized(docs, query, 20), weight))
@@ -215,8 +252,8 @@ found as (select row_number() over (order by round(score, 12) desc, docid) - 1 a
 
 @register("hybrid_blend_stub", result(*_HYBRID, _BLEND, of="found"))
 def hybrid_blend_stub(spark: SparkSession, sf: str) -> DataFrame:
-    docs = adapter.documents(spark, sf)
-    return ranked(hybrid.hybrid(docs, adapter.vectors(spark, sf, docs), TableEngine(spark, sf), PAIR, None, 10))
+    docs = adapter.index(spark, sf)
+    return ranked(hybrid.hybrid(docs, adapter.vectors(spark, sf, docs.documents), TableEngine(spark, sf), PAIR, None, 10))
 
 
 # --- lookups and upkeep -------------------------------------------------------------------
@@ -252,6 +289,21 @@ def unembedded_hashes(spark: SparkSession, sf: str) -> DataFrame:
     return lookup.unembedded(docs, adapter.vectors(spark, sf, docs, True))
 
 
+@register("unembedded_chunks", statement(SEVERAL, tail="select hash, seq, cast(0 as int) as pos from vectors where vec is null and hash = (select min(hash) from vectors where vec is null)"))
+def unembedded_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """The chunks that one content still lacks a vector for."""
+    chunks = adapter.vectors(spark, sf, adapter.documents(spark, sf), True)
+    first = chunks.where("vec is null").agg(F.min("hash")).first()[0]
+    left = lookup.unembedded_chunks(chunks.withColumn("text", F.col("hash")), first)
+    return left.select(F.col("text").alias("hash"), F.col("seq").cast("long").alias("seq"), F.lit(0).alias("pos"))
+
+
+@register("document_for_hash", f"with {DOCS} select title, collection || '/' || path as path from docs where active and hash = (select max(hash) from docs where active) order by collection, path limit 1")
+def document_for_hash(spark: SparkSession, sf: str) -> DataFrame:
+    docs = adapter.documents(spark, sf)
+    return lookup.document_for_hash(docs, docs.where("active").agg(F.max("hash")).first()[0])
+
+
 @register("unembedded_count", statement(SEVERAL, tail=f"select count(distinct hash) as n from docs where active and hash not in {_DONE}"))
 def unembedded_count(spark: SparkSession, sf: str) -> DataFrame:
     return unembedded_hashes(spark, sf).agg(F.count("*").alias("n"))
@@ -299,17 +351,26 @@ def upsert_merge(spark: SparkSession, sf: str) -> DataFrame:
     return lookup.merge(docs.select("id", "collection", "path", "hash", "active"), _scan(docs))
 
 
-@register("stale_observations", statement(_SCAN, tail="""select docid, path, 'note' as note from (select distinct docid, path, hash from docs where path like 'src1/%') n
+@register("stale_observations", statement(_SCAN, tail="""select docid, path, 'note' as note from (select distinct docid, path, hash from docs) n
 where not exists (select 1 from (select d.docid, min_by(s.hash, d.path) as now from docs d join scan s using (collection, path) where active group by 1) c where c.docid = n.docid and c.now = n.hash)"""))
 def stale_observations(spark: SparkSession, sf: str) -> DataFrame:
-    """Notes on the documents of one source, after the scan above."""
+    """Notes on all documents, after the scan above."""
     docs = adapter.documents(spark, sf)
-    notes = docs.where("path like 'src1/%'").select("docid", "path", "hash", F.lit("note").alias("note")).distinct()
+    notes = docs.select("docid", "path", "hash", F.lit("note").alias("note")).distinct()
     scanned = _scan(docs).withColumnRenamed("hash", "new")
     now = docs.join(scanned, ["collection", "path"]).drop("hash").withColumnRenamed("new", "hash")
     return lookup.stale_notes(notes, now).select("docid", "path", "note")
 
 
+@register("attach_notes", statement(_SCAN, "stale as (select distinct docid from docs join scan using (collection, path) where docs.hash <> scan.hash)", tail="select id as doc_id, d.docid, case when s.docid is null then '' else ' [STALE observation: ' || 'note on ' || d.docid || ']' end as context from docs d left join stale s using (docid)"))
+def attach_notes(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents as results, tagged with the notes that the scan above made stale."""
+    docs = adapter.documents(spark, sf)
+    changed = docs.join(_scan(docs).withColumnRenamed("hash", "new"), ["collection", "path"]).where(F.col("hash") != F.col("new"))
+    stale = changed.select("docid", F.concat(F.lit("note on "), "docid").alias("note"))
+    return lookup.attach_notes(docs.select("id", "docid", "context"), stale).select(F.col("id").alias("doc_id"), "docid", "context")
+
+
 @register("index_status", statement(SEVERAL, tail=f"""select (select count(distinct collection) from docs) as collections, (select count(*) from docs) as documents, (select count(*) from vectors) as chunks,
 (select count(distinct hash) from docs where active and hash not in {_DONE}) as needs_embedding,
 (select count(distinct hash) from docs where active and hash not in {_DONE}) = 0 and (select count(*) from vectors) > 0 as has_vector_index"""))
@@ -347,19 +408,45 @@ def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
     return chunker.chunk_documents(adapter.documents(spark, sf))
 
 
-@register("porter_terms")
+@register("porter_terms", statement(TOKENS, "terms as (select distinct unnest(toks) as term from tok where fld = 'content')", stems("terms"), tail="select term, stem from stemmed"))
 def porter_terms(spark: SparkSession, sf: str) -> DataFrame:
     """Every distinct term with its stem."""
-    terms = _tokens(spark, sf).select(F.explode("t_content").alias("term")).distinct()
-    return terms.select("term", search._stems(F.array("term"))[0].alias("stem"))
+    terms = adapter.index(spark, sf).postings.where("field = 'content'").select("term").distinct()
+    return terms.select("term", stem("term").alias("stem"))
 
 
-@register("bm25_porter")
-def bm25_porter(spark: SparkSession, sf: str) -> DataFrame:
-    return ranked(search.bm25(adapter.documents(spark, sf), PAIR, None, 10, stemmed=True))
+def _stemmed(name: str, query: str) -> None:
+    sql = result(STEMMED_TOKENS, scores(parse(query, True)), top("raw", "found", 10), of="found")
+    register(name, sql)(lambda spark, sf: ranked(search.bm25(adapter.index(spark, sf, True), query, None, 10, stemmed=True)))
 
 
-@register("expand_parse")
+_stemmed("bm25_porter", PAIR)
+_stemmed("bm25_porter_phrase", PHRASE)
+
+
+_BLANK = "' ' || chr(9) || chr(11) || chr(12) || chr(13)"
+
+
+def _unmarked() -> str:
+    """CTEs m0, m1, ... that take one of the marks after the other off the lines of ``asked``."""
+    names = ["asked", *(f"m{k}" for k in range(len(LINE_MARKS)))]
+    return ",\n".join(
+        f"{out} as (select item_id, orig, i, case when starts_with(l, '{mark}') then substr(l, {len(mark) + 1}) else l end as l from {before})"
+        for before, out, mark in zip(names, names[1:], LINE_MARKS)
+    )
+
+
+@register(
+    "expand_parse",
+    f"""with texts as (select item_id, coalesce(text, '') as t from benchmark),
+cut as (select item_id, split_part(t, chr(10), 1) as orig, unnest(string_split(t, chr(10))) as l, generate_subscripts(string_split(t, chr(10)), 1) as i from texts),
+asked as (select item_id, orig, i, trim(l, {_BLANK}) as l from cut where trim(l, {_BLANK}) <> '' and trim(l, {_BLANK}) <> orig),
+{_unmarked()},
+found as (select item_id, orig, i, trim(l, {_BLANK}) as l from m{len(LINE_MARKS) - 1} where trim(l, {_BLANK}) <> '' and trim(l, {_BLANK}) <> orig),
+filled as (select item_id, l as query, i from found union all select item_id, split_part(t, chr(10), 1), 1e9 from texts union all select item_id, split_part(t, chr(10), 1), 2e9 from texts),
+numbered as (select item_id, query, row_number() over (partition by item_id order by i) as k from filled)
+select item_id, query, case k when 1 then 'lex' else 'vec' end as kind from numbered where k <= 2""",
+)
 def expand_parse(spark: SparkSession, sf: str) -> DataFrame:
     """Each benchmark text taken for a model's answer to its first line."""
 

@@ -20,6 +20,9 @@ INTENDED = "(0.25 + 0.75 * doc_len / l) / (0.45 + 0.55 * doc_len / l)"
 def _count(phrase: Phrase) -> str:
     terms = [t.replace("'", "''") for t in phrase.terms]
     last = "starts_with({}, '{}')" if phrase.prefix else "{} = '{}'"
+    if phrase.first:
+        tests = [f"toks[{k + 1}] = '{t}'" for k, t in enumerate(terms[:-1])] + [last.format(f"toks[{len(terms)}]", terms[-1])]
+        return f"cast(coalesce({' and '.join(tests)}, false) as int)"
     if len(terms) == 1:
         return f"len(list_filter(toks, lambda x: {last.format('x', terms[0])}))"
     tests = [f"toks[i + {k}] = '{t}'" for k, t in enumerate(terms[:-1])] + [last.format(f"toks[i + {len(terms) - 1}]", terms[-1])]

@@ -4,7 +4,6 @@ COLLECTIONS = "id long, name string, path string, glob string, context string"
 DOCUMENTS = "id long, collection string, path string, title string, docid string, hash string, active boolean, doc_len long, content string"
 VECTORS = "hash string, seq int, pos int, text string, vec array<float>"
 OBSERVATIONS = "docid string, path string, hash string, note string, timestamp string"
-POSTINGS = "id long, field string, term string, positions array<int>"
 
 GLOB = "**/*.md"
 MAX_BYTES = 1 << 20

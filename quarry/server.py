@@ -17,16 +17,22 @@ from quarry.sources import files
 from quarry.sources.store import Store
 
 PROTOCOL = "2024-11-05"
-INSTRUCTIONS = "Search indexed documents. Use search for exact words, vector_search for meaning, research for both at once, deep_search for the best ranking, get and multi_get to look documents up, status for the state of the index."
-
-_QUERY = {"query": {"type": "string"}, "limit": {"type": "integer"}, "collection": {"type": "string"}, "minScore": {"type": "number"}, "maxChars": {"type": "integer"}, "note": {"type": "string"}}
+_QUERY = {
+    "query": {"type": "string", "description": "Words and \"quoted phrases\" that all have to occur; title:word looks in titles."},
+    "limit": {"type": "integer", "description": f"How many results to give, {LIMIT} if not said."},
+    "collection": {"type": "string", "description": "Look in this collection only."},
+    "minScore": {"type": "number", "description": "Leave results below this score out."},
+    "maxChars": {"type": "integer", "description": "Shorten the answer to so many characters."},
+    "note": {"type": "string", "description": "What you conclude; kept with the best result and shown again if it goes stale."},
+}
+_SHORT = {"maxChars": _QUERY["maxChars"]}
 _TOOLS = {
     "search": ("Ranked keyword search", _QUERY, ["query"]),
     "vector_search": ("Search by meaning", _QUERY, ["query"]),
     "deep_search": ("Expansion, fusion and reranking", _QUERY, ["query"]),
     "research": ("Keyword and vector search in one call", _QUERY, ["query"]),
-    "get": ("One document by docid or path", {"ref": {"type": "string"}, "maxLines": {"type": "integer"}, "maxChars": {"type": "integer"}}, ["ref"]),
-    "multi_get": ("Documents by a comma list of patterns", {"pattern": {"type": "string"}, "maxBytes": {"type": "integer"}, "maxChars": {"type": "integer"}}, ["pattern"]),
+    "get": ("One document by docid or path", {"ref": {"type": "string", "description": "A docid, with or without #, or a path."}, "maxLines": {"type": "integer", "description": "Give the first lines only."}, **_SHORT}, ["ref"]),
+    "multi_get": ("Documents by a comma list of patterns", {"pattern": {"type": "string", "description": "Paths with * for any text, docids and paths, separated by commas."}, "maxBytes": {"type": "integer", "description": "Leave larger documents out."}, **_SHORT}, ["pattern"]),
     "status": ("State of the index", {}, []),
 }
 _NEED_MODEL = {"vector_search", "deep_search", "research"}
@@ -48,7 +54,7 @@ class Server:
         method = request.get("method")
         try:
             if method == "initialize":
-                result = {"protocolVersion": PROTOCOL, "capabilities": {"tools": {}}, "serverInfo": {"name": "quarry", "version": "1"}, "instructions": INSTRUCTIONS}
+                result = {"protocolVersion": PROTOCOL, "capabilities": {"tools": {}}, "serverInfo": {"name": "quarry", "version": "1"}, "instructions": self.instructions()}
             elif method == "tools/list":
                 result = {"tools": self.tools()}
             elif method == "tools/call":
@@ -60,6 +66,22 @@ class Server:
             return {**answer, "error": {"code": -1, "message": str(e)}}
         return {**answer, "result": result}
 
+    def instructions(self) -> str:
+        """What is indexed, collection by collection, and which tools fit the models there are."""
+        docs = self.store.read("documents").where("active").groupBy("collection").count()
+        held = {r["collection"]: r["count"] for r in docs.collect()}
+        about = [(r["name"], r["context"]) for r in self.store.read("collections").orderBy("name").collect()]
+        lines = [f"{sum(held.values())} documents in {len(about)} collections can be searched."]
+        lines += [f"- {name}: {held.get(name, 0)} documents" + (f" ({context})" if context else "") for name, context in about]
+        if self.engine.has_embedder:
+            lines.append("Begin with research, which looks for words and for meaning at once; search is for exact words, vector_search for meaning.")
+            if self.engine.has_expander and self.engine.has_reranker:
+                lines.append("deep_search ranks best and takes longest.")
+        else:
+            lines.append("No embedding model is there, so only search, by words, finds documents.")
+        lines.append("get and multi_get look documents up; status tells how far the index is.")
+        return "\n".join(lines)
+
     def tools(self) -> list[dict]:
         return [
             {"name": name, "description": what, "inputSchema": {"type": "object", "properties": properties, "required": required}}
@@ -95,17 +117,17 @@ class Server:
 
     def _search(self, args: dict):
         query, collection, limit = self._common(args)
-        return self._finish(hybrid.keyword(self.store.documents(), query, collection, limit, True), args)
+        return self._finish(hybrid.keyword(self.store.source(), query, collection, limit, True), args)
 
     def _vector(self, args: dict):
         query, collection, limit = self._common(args)
         vector = self.engine.embed(QUERY_PREFIX + query, True)
-        found = search.vector_search(self.store.documents(), self.store.read("vectors"), vector, collection, limit)
+        found = search.vector_search(self.store.source(), self.store.read("vectors"), vector, collection, limit)
         return self._finish(found, args, float(args.get("minScore") or 0) or MIN_COSINE)
 
     def _deep(self, args: dict):
         query, collection, limit = self._common(args)
-        return self._finish(hybrid.hybrid(self.store.documents(), self.store.read("vectors"), self.engine, query, collection, limit, True), args)
+        return self._finish(hybrid.hybrid(self.store.source(), self.store.read("vectors"), self.engine, query, collection, limit, True), args)
 
     def stale(self):
         notes = files.load_notes(self.notes)
@@ -119,7 +141,7 @@ class Server:
             vector = self.engine.embed(QUERY_PREFIX + query, True)
         except NoModelError:
             vector = None
-        found = hybrid.research(self.store.documents(), self.store.read("vectors"), query, vector, collection, limit, float(args.get("minScore") or 0), True)
+        found = hybrid.research(self.store.source(), self.store.read("vectors"), query, vector, collection, limit, float(args.get("minScore") or 0), True)
         return self._finish(lookup.attach_notes(found, self.stale()), args, 0)
 
     def _get(self, args: dict):

@@ -87,19 +87,24 @@ def scan(spark: SparkSession, root: str, collection: str, glob: str = GLOB) -> D
     return _described(_rows(spark.createDataFrame(paths, "path string, full string")), collection)
 
 
-def scan_store(spark: SparkSession, root: str, collection: str, glob: str = GLOB) -> DataFrame:
-    """The same for any store Spark reads, listed and read by the executors. Spark passes
-    over names that begin with a point or an underscore."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+def indexable(arrived: DataFrame, root: str, collection: str, glob: str = GLOB) -> DataFrame:
+    """The rules of :func:`scan` on rows (path, length, content) of Spark's binary files
+    below ``root``, a batch or a stream."""
     below = F.expr(f"substring(path, instr(path, '{root.rstrip('/')}/') + {len(root.rstrip('/')) + 1})")
-    files = files.where(F.col("length") <= MAX_BYTES).withColumn("path", below)
+    found = arrived.where(F.col("length") <= MAX_BYTES).withColumn("path", below)
     taken = F.lit(False)
     for p in text.expand_glob(glob):
         taken = taken | (F.col("path") if "/" in p else F.element_at(F.split("path", "/"), -1)).rlike(text.glob_regex(p))
     folders = F.slice(F.split("path", "/"), F.lit(1), F.size(F.split("path", "/")) - 1)
-    files = files.where(taken & ~F.exists(folders, lambda d: d.isin(*SKIPPED) | d.startswith(".")))
+    found = found.where(taken & ~F.exists(folders, lambda d: d.isin(*SKIPPED) | d.startswith(".")))
     plain = F.locate("\x00", F.decode(F.substring("content", 1, PROBE), "ISO-8859-1")) == 0
-    return _described(files.where(plain).select("path", F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("hash")), collection)
+    return _described(found.where(plain).select("path", F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("hash")), collection)
+
+
+def scan_store(spark: SparkSession, root: str, collection: str, glob: str = GLOB) -> DataFrame:
+    """The same for any store Spark reads, listed and read by the executors. Spark passes
+    over names that begin with a point or an underscore."""
+    return indexable(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root), root, collection, glob)
 
 
 def load_config(path: str) -> dict:
@@ -109,23 +114,30 @@ def load_config(path: str) -> dict:
     if not os.path.exists(path):
         return {"collections": [], "contexts": []}
     with open(path, encoding="utf-8") as f:
-        data = f.read()
+        return parse_config(f.read(), path)
+
+
+def parse_config(data: str | None, name: str = "index.yml") -> dict:
     try:
         import yaml
 
-        found = yaml.safe_load(data)
+        found = yaml.safe_load(data or "")
     except ImportError:
-        found = json.loads(data)
+        found = json.loads(data or "null")
     found = found or {}
     if not isinstance(found, dict):
-        raise ValueError(f"{path}: not a configuration")
+        raise ValueError(f"{name}: not a configuration")
     return {"collections": found.get("collections") or [], "contexts": found.get("contexts") or []}
 
 
+def config_text(config: dict) -> str:
+    return json.dumps(config, indent=2, ensure_ascii=False)
+
+
 def save_config(path: str, config: dict) -> None:
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
     with open(path, "w", encoding="utf-8") as f:
-        json.dump(config, f, indent=2, ensure_ascii=False)
+        f.write(config_text(config))
 
 
 def load_notes(path: str) -> list[dict]:

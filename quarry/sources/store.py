@@ -1,15 +1,15 @@
 """The persistent index: versioned Parquet tables below one folder.
 
 Every change writes a new version of a table and then moves the table's pointer, so a
-reader or a failed job never sees half a change. Postings are sorted by term, which lets
-Parquet skip row groups for a term or prefix.
+reader or a failed job never sees half a change; the version before stays for readers
+that have begun. The folder may be in any store that Spark reaches: pointers and versions
+are handled through Spark's own file systems.
 """
 
 from __future__ import annotations
 
-import json
+import io
 import os
-import shutil
 import tarfile
 import uuid
 
@@ -18,47 +18,49 @@ from pyspark.sql import functions as F
 
 from quarry import schemas
 from quarry.models import Engine, document_input
-from quarry.operators import chunker, lookup, search
-from quarry.sources import files
+from quarry.operators import chunker, index, lookup, search
+from quarry.operators.index import Index
+from quarry.sources import files, shared
 
-_TABLES = {"collections": schemas.COLLECTIONS, "documents": schemas.DOCUMENTS, "vectors": schemas.VECTORS + ", status string", "postings": schemas.POSTINGS}
+_TABLES = {"collections": schemas.COLLECTIONS, "documents": schemas.DOCUMENTS, "vectors": schemas.VECTORS + ", status string"}
 
 
 class Store:
     def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root
-        os.makedirs(root, exist_ok=True)
+        self.spark, self.root = spark, root.rstrip("/")
 
     # tables
 
     def _pointer(self, name: str) -> str:
-        return os.path.join(self.root, f"{name}.current")
+        return f"{self.root}/{name}.current"
+
+    def _versions(self, name: str) -> list[str]:
+        """Folders of the current version and the one before, if any."""
+        return (shared.read_text(self.spark, self._pointer(name)) or "").split()
+
+    def _move(self, name: str, version: str) -> None:
+        """Point to ``version`` and delete the version before the last."""
+        known = self._versions(name)
+        shared.write_text(self.spark, self._pointer(name), "\n".join([version, *known[:1]]))
+        for old in known[1:]:
+            shared.delete(self.spark, f"{self.root}/{old}")
 
     def read(self, name: str) -> DataFrame:
-        try:
-            with open(self._pointer(name), encoding="utf-8") as f:
-                return self.spark.read.schema(_TABLES[name]).parquet(os.path.join(self.root, f.read().strip()))
-        except FileNotFoundError:
+        versions = self._versions(name)
+        if not versions:
             return self.spark.createDataFrame([], _TABLES[name])
+        return self.spark.read.schema(_TABLES[name]).parquet(f"{self.root}/{versions[0]}")
 
     def write(self, name: str, df: DataFrame) -> None:
         version = f"{name}-{uuid.uuid4().hex}"
         columns = [c.strip().split(" ")[0] for c in _TABLES[name].split(", ")]
-        df.select(*columns).write.parquet(os.path.join(self.root, version))
-        old = None
-        if os.path.exists(self._pointer(name)):
-            with open(self._pointer(name), encoding="utf-8") as f:
-                old = f.read().strip()
-        with open(self._pointer(name) + ".new", "w", encoding="utf-8") as f:
-            f.write(version)
-        os.replace(self._pointer(name) + ".new", self._pointer(name))
-        if old:
-            shutil.rmtree(os.path.join(self.root, old), ignore_errors=True)
+        df.select(*columns).write.parquet(f"{self.root}/{version}")
+        self._move(name, version)
 
     def documents(self) -> DataFrame:
         """Documents with the description of their collection."""
         described = self.read("collections").select(F.col("name").alias("collection"), "context")
-        return self.read("documents").join(F.broadcast(described), "collection", "left")
+        return self.read("documents").join(described, "collection", "left")
 
     # upkeep
 
@@ -81,13 +83,23 @@ class Store:
         columns = [c.strip().split(" ")[0] for c in schemas.DOCUMENTS.split(", ")]
         self.write("documents", old.where(F.col("collection") != name).unionByName(own.select(*columns)))
 
-    def build_postings(self, stemmed: bool = True) -> None:
-        """term, field and positions of every document, sorted by term."""
-        tokens = search.with_tokens(self.read("documents"), stemmed)
-        fields = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"t_{f}").alias("tokens")) for f in search.FIELDS))
-        each = tokens.select("id", F.explode(fields).alias("f")).select("id", "f.field", F.posexplode("f.tokens").alias("position", "term"))
-        postings = each.groupBy("id", "field", "term").agg(F.array_sort(F.collect_list("position")).alias("positions"))
-        self.write("postings", postings.repartitionByRange("term").sortWithinPartitions("term", "id"))
+    def build_index(self) -> None:
+        """The inverted index of the current documents; searches answer from it until the
+        documents or collections change again."""
+        version = f"index-{uuid.uuid4().hex}"
+        base = [*self._versions("documents")[:1], *self._versions("collections")[:1]]
+        index.build(self.documents(), f"{self.root}/{version}")
+        shared.write_text(self.spark, f"{self.root}/{version}/base", "\n".join(base))
+        self._move("index", version)
+
+    def source(self) -> Index | DataFrame:
+        """What searches read: the index if it is of the current documents, else these."""
+        built = self._versions("index")
+        if built:
+            base = (shared.read_text(self.spark, f"{self.root}/{built[0]}/base") or "").split()
+            if base == [*self._versions("documents")[:1], *self._versions("collections")[:1]]:
+                return index.load(self.spark, f"{self.root}/{built[0]}")
+        return self.documents()
 
     def chunk(self) -> None:
         """Chunks, without vectors, for contents that have none yet."""
@@ -124,14 +136,16 @@ class Store:
         return lookup.unembedded(self.read("documents"), self.read("vectors")).count()
 
     def sync(self, config: dict, engine: Engine | None = None, compat: bool = True) -> list[str]:
-        """Index every configured collection, then embed. Returns what went wrong; a
-        collection that fails does not stop the others."""
+        """Index every configured collection, build the inverted index, then embed. Returns
+        what went wrong; a collection that fails does not stop the others."""
         errors = []
         for c in config["collections"]:
             try:
                 self.index_collection(c["name"], c["path"], c.get("glob") or schemas.GLOB, c.get("context") or "", compat)
             except (OSError, ValueError) as e:
                 errors.append(f"{c['name']}: {e}")
+        if not self.read("documents").isEmpty():
+            self.build_index()
         if engine is not None:
             self.embed(engine)
         return errors
@@ -142,33 +156,37 @@ class Store:
     # bundles
 
     def export(self, config: dict, path: str) -> None:
-        """A tar.gz of the current tables and the configuration, collection paths cut to
-        their last part."""
+        """A tar.gz at the local ``path`` with the current tables and the configuration,
+        collection paths cut to their last part."""
         short = {**config, "collections": [{**c, "path": os.path.basename(c["path"].rstrip("/"))} for c in config["collections"]]}
-        files.save_config(os.path.join(self.root, "index.yml"), short)
         with tarfile.open(path, "w:gz") as tar:
-            tar.add(os.path.join(self.root, "index.yml"), "index.yml")
+
+            def add(name: str, data: bytes) -> None:
+                entry = tarfile.TarInfo(name)
+                entry.size = len(data)
+                tar.addfile(entry, io.BytesIO(data))
+
+            add("index.yml", files.config_text(short).encode("utf-8"))
             for name in _TABLES:
-                if os.path.exists(self._pointer(name)):
-                    with open(self._pointer(name), encoding="utf-8") as f:
-                        version = f.read().strip()
-                    tar.add(self._pointer(name), f"{name}.current")
-                    tar.add(os.path.join(self.root, version), version)
+                for version in self._versions(name)[:1]:
+                    add(f"{name}.current", version.encode("utf-8"))
+                    for part in shared.listed(self.spark, f"{self.root}/{version}"):
+                        add(f"{version}/{part}", shared.read_bytes(self.spark, f"{self.root}/{version}/{part}"))
 
     def restore(self, path: str) -> dict:
         """Replace this index by a bundle; other entries are passed over."""
-        known = tuple(f"{n}{x}" for n in _TABLES for x in (".current", "-"))
+        config, moved = None, {}
         with tarfile.open(path, "r:gz") as tar:
-            tar.extractall(self.root, [m for m in tar.getmembers() if m.name == "index.yml" or m.name.startswith(known)], filter="data")
-        return files.load_config(os.path.join(self.root, "index.yml"))
-
-
-def posting_hits(postings: DataFrame, phrase) -> DataFrame:
-    """id, field and hits of a one-term phrase from the index; only the row groups that
-    can hold the term are read."""
-    term = F.col("term").startswith(phrase.terms[0]) if phrase.prefix else F.col("term") == phrase.terms[0]
-    found = postings.where(term)
-    if phrase.field:
-        found = found.where(F.col("field") == phrase.field)
-    hits = F.size(F.filter("positions", lambda p: p == 0)) if phrase.first else F.size("positions")
-    return found.groupBy("id", "field").agg(F.sum(hits).alias("hits"))
+            for entry in tar:
+                folder, _, part = entry.name.partition("/")
+                if not entry.isfile() or ".." in entry.name.split("/"):
+                    continue
+                if entry.name == "index.yml":
+                    config = tar.extractfile(entry).read().decode("utf-8")
+                elif entry.name.removesuffix(".current") in _TABLES and entry.name.endswith(".current"):
+                    moved[entry.name.removesuffix(".current")] = tar.extractfile(entry).read().decode("utf-8").strip()
+                elif part and folder.split("-")[0] in _TABLES:
+                    shared.write_bytes(self.spark, f"{self.root}/{entry.name}", tar.extractfile(entry).read())
+        for name, version in moved.items():
+            self._move(name, version)
+        return files.parse_config(config)

@@ -5,22 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions import text
-from quarry.schemas import MAX_BYTES
+from quarry.schemas import GLOB
+from quarry.sources import files
 from quarry.sources.store import Store
 
 
-def watch(spark: SparkSession, store: Store, root: str, collection: str, checkpoint: str):
-    """A streaming query over new files below ``root``. A batch adds and updates
-    documents; it never deactivates any, as it does not see the whole folder."""
+def watch(spark: SparkSession, store: Store, root: str, collection: str, checkpoint: str, glob: str = GLOB):
+    """A streaming query over new files below ``root``, by the rules of a scan. A batch
+    adds and updates documents; it never deactivates any, as it does not see the whole
+    folder. A batch without a file for the index changes nothing."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     arriving = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(root)
-    store.upsert_collection(collection, root)
+    store.upsert_collection(collection, root, glob)
 
     def merge(batch: DataFrame, _: int) -> None:
-        rows = batch.where(F.col("length") <= MAX_BYTES).select(F.element_at(F.split("path", f"{root.rstrip('/')}/"), -1).alias("path"), F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("hash"))
-        rows = rows.select(F.lit(collection).alias("collection"), "path", text.title(F.col("content"), F.col("path")).alias("title"), text.docid(F.col("hash")).alias("docid"), "hash", text.token_estimate(F.col("content")).alias("doc_len"), "content")
-        known = store.read("documents").where(F.col("collection") == collection).join(rows.select("path"), "path", "left_anti")
-        store.merge_documents(collection, rows.unionByName(known.select(*rows.columns)))
+        rows = batch.persist()
+        try:
+            if not rows.isEmpty():
+                known = store.read("documents").where(F.col("collection") == collection).join(rows.select("path"), "path", "left_anti")
+                store.merge_documents(collection, rows.unionByName(known.select(*rows.columns)))
+        finally:
+            rows.unpersist()
 
-    return arriving.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).start()
+    return files.indexable(arriving, root, collection, glob).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).start()

@@ -11,10 +11,12 @@ from quarry import cli, render
 from quarry.functions import text, vectors
 from quarry.models import HashingEngine
 from quarry.operators.chunker import chunk
+from quarry.operators import index
+from quarry.operators.index import Index
 from quarry.operators.query import parse
 from quarry.server import Server, remote
 from quarry.sources import files
-from quarry.sources.store import Store, posting_hits
+from quarry.sources.store import Store
 from quarry.streaming.ingest import watch
 
 
@@ -123,9 +125,14 @@ def test_store_from_scan_to_bundle(spark, folder, tmp_path):
     put(folder, "_u.md", "underscore")
     store.sync(config)
     assert not {r["path"]: r for r in store.documents().collect()}["_u.md"]["active"]
-    store.build_postings()
-    hits = {r["field"]: r["hits"] for r in posting_hits(store.read("postings"), parse("alpha", True)[0]).collect()}
-    assert hits == {"title": 1, "content": 2}
+    built = store.source()
+    assert isinstance(built, Index)
+    found = {r["field"]: r["hits"] for r in index.hits(built.stems, parse("alpha", True)[0]).collect()}
+    assert found == {"title": 1, "content": 2}
+    store.upsert_collection("n", folder, context="my notes")
+    assert not isinstance(store.source(), Index)
+    store.build_index()
+    assert isinstance(store.source(), Index) and len(store._versions("documents")) == 2
     store.export(config, str(tmp_path / "x.tar.gz"))
     other = Store(spark, str(tmp_path / "other"))
     assert other.restore(str(tmp_path / "x.tar.gz"))["collections"][0]["path"] == "notes"

@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import text
-from quarry.models import HashingEngine, StubEngine, yes_probability
-from quarry.operators import hybrid, lookup, search
+from quarry.models import HashingEngine, StubEngine, WorkerEngine, clip_words, yes_probability
+from quarry.operators import hybrid, index, lookup, search
 from quarry.operators.query import Phrase, QuerySyntaxError, expansions, parse
 
 SCHEMA = "id long, collection string, path string, title string, docid string, hash string, active boolean, doc_len long, content string, context string"
@@ -35,6 +35,14 @@ def fts(rows, query, tokenizer):
     return {i: -s for i, s in con.execute("select rowid, bm25(f, 5.0, 1.0, 0.0) from f where f match ?", (query,))}
 
 
+@pytest.fixture(scope="module")
+def built(spark, tmp_path_factory):
+    """The index of the corpus, terms over several files."""
+    path = str(tmp_path_factory.mktemp("index"))
+    index.build(table(spark, corpus()), path)
+    return index.load(spark, path)
+
+
 @pytest.mark.parametrize("stemmed", [False, True])
 @pytest.mark.parametrize(
     "query, match",
@@ -49,12 +57,34 @@ def fts(rows, query, tokenizer):
         ("connection ecole", "connection* AND ecole*"),
     ],
 )
-def test_scores_equal_sqlite(spark, stemmed, query, match):
+def test_scores_equal_sqlite(spark, built, stemmed, query, match):
     rows = corpus()
     want = fts(rows, match, "porter unicode61" if stemmed else "unicode61")
     active = {r[0] for r in rows if r[4]}
     got = {r["path"]: r["score"] for r in search.bm25(table(spark, rows), query, limit=1000, corrected=False, stemmed=stemmed).collect()}
-    assert got == pytest.approx({f"p{i}": s for i, s in want.items() if i in active}, rel=1e-9)
+    want = pytest.approx({f"p{i}": s for i, s in want.items() if i in active}, rel=1e-9)
+    assert got == want
+    assert {r["path"]: r["score"] for r in search.bm25(built, query, limit=1000, corrected=False, stemmed=stemmed).collect()} == want
+
+
+def test_index_ranks_as_the_documents_do(spark, built):
+    """Ties at the limit, collections, no result, a term that is not there, no documents."""
+    docs = table(spark, corpus())
+    for query, limit in (("alpha", 3), ("beta gamma", 100), ("alpha zzz", 2)):
+        assert search.bm25(built, query, None, limit).collect() == search.bm25(docs, query, None, limit).collect()
+        assert search.bm25_normalized(built, query, limit).collect() == search.bm25_normalized(docs, query, limit).collect()
+    assert search.bm25(built, "docid:a", "b", 5).collect() == search.bm25(docs, "docid:a", "b", 5).collect()
+    copies = table(spark, [(i, "a", "same", "alpha text", True) for i in range(9)])
+    path = spark.conf.get("spark.checkpoint.dir") + "/copies"
+    index.build(copies, path)
+    assert search.bm25(index.load(spark, path), "alpha", None, 4).collect() == search.bm25(copies, "alpha", None, 4).collect()
+    index.build(copies.where("false"), path)
+    assert search.bm25(index.load(spark, path), "alpha", stemmed=True).collect() == []
+
+
+def test_a_query_reads_the_postings_of_its_terms_only(built):
+    plan = search.bm25(built, "alpha", limit=5)._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(term,alpha)" in plan and "content:string" not in plan
 
 
 def test_stems_equal_sqlite():
@@ -181,3 +211,31 @@ def test_merge_keeps_restored_files_inactive(spark):
     assert got == {"same": ("h1", True), "gone": ("h2", False), "back": ("h3", False), "edit": ("h5", True), "new": ("h6", True)}
     assert {r["path"]: r["active"] for r in lookup.merge(old, scan, compat=False).collect()}["back"]
     assert {r["path"]: r["status"] for r in lookup.change_status(old, scan).collect()} == {"same": "unchanged", "gone": "missing", "back": "unchanged", "edit": "changed", "new": "new"}
+
+
+def test_snippets(spark):
+    rows = [(1, "a", "t", "x " * 300 + "Here Alpha  stands\nstill. " + "y " * 300, True), (2, "a", "alpha", "nothing of it", True), (3, "a", "alpha", "", True)]
+    docs = table(spark, rows)
+    found = search.with_snippets(search.bm25(docs, "alpha"), docs, "alpha", 80)
+    got = {r["path"]: r["snippet"] for r in found.collect()}
+    assert "Here Alpha stands still." in got["p1"] and len(got["p1"]) <= 80 and got["p2"] == "nothing of it" and got["p3"] == ""
+
+
+def test_worker_engine():
+    made = []
+
+    class Own(HashingEngine):
+        def __init__(self):
+            super().__init__(8)
+            made.append(1)
+
+        def clip(self, words, n):
+            return words[:n]
+
+    engine = WorkerEngine(Own, idle=1000, max_tokens=3)
+    assert engine.embed("abcdef", False) == Own().embed("abc", False) and engine.embed("abc", True) and len(made) == 2
+    engine.idle = -1
+    engine.embed("x", False)
+    engine.embed("x", False)
+    assert len(made) == 3
+    assert clip_words("a b  c d", 3) == "a b  c" and clip_words("a", 3) == "a"
