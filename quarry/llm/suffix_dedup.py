@@ -10,11 +10,14 @@ anchors at equal distances, and a string can repeat only if its anchor's gram do
 2. Segments whose gram occurs once are left out. They can hold no repeated string.
 3. The suffixes that begin at anchors are sorted through a priority queue which spills
    sorted runs to disk, and neighbours get the length of their common prefix.
-4. Induction: the suffixes one byte further left are sorted by that byte and the order
-   just found; a common prefix grows by one, or is the least of those between. Repeated
-   to the segment's left end, this sorts every suffix of every segment from the sampled
-   ones, with common-prefix values, in linear passes over the shard. The segments' bytes
-   are in files on disk once they exceed ``memory`` bytes.
+4. Induction: tuples (suffix, common prefix with the one before) are popped in order and
+   pushed, with the byte further left as key, into a monotone queue that has a bucket on
+   disk for each byte. Popped again they are in the order of the longer suffixes; a common
+   prefix has grown by one, or is the least of those in between. Repeated to the segments'
+   left ends, each queue filled from the last, this sorts every suffix of every segment
+   from the sampled ones. A step streams blocks of ``_BLOCK`` tuples; tuples, bytes and
+   rows are in files of the task once they exceed ``memory`` bytes, so a shard can be far
+   larger than memory.
 5. A string is repeated if a neighbour shares ``length`` bytes or its segment has
    copies. The spans found are brought back to the texts.
 
@@ -141,7 +144,7 @@ def anchors(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
 
 
 _ROW = np.dtype([("u", "<i8"), ("h", "<i8"), ("group", "<i8"), ("before", "<i4"), ("after", "<i4"), ("many", "?")])
-_BLOCK = 1 << 13
+_LEFTS = 1 << 13
 
 
 class Shard:
@@ -168,7 +171,7 @@ class Shard:
 
     def table(self) -> np.ndarray:
         self.rows.seek(0)
-        if self.n * _ROW.itemsize <= self.memory:
+        if self.n * _ROW.itemsize <= self.memory // 8:
             return np.frombuffer(self.rows.read(), _ROW)
         self.rows.rollover()
         return np.memmap(self.rows, _ROW, "r", shape=self.n)
@@ -178,107 +181,224 @@ class Shard:
         shape = (self.deepest + 1, self.n)
         out = np.memmap(tempfile.TemporaryFile(), np.uint8, "w+", shape=shape) if shape[0] * self.n > self.memory else np.zeros(shape, np.uint8)
         self.lefts.seek(0)
-        for at in range(0, self.n, _BLOCK):
-            block = np.frombuffer(self.lefts.read(_BLOCK * self.length), np.uint8).reshape(-1, self.length)
+        for at in range(0, self.n, _LEFTS):
+            block = np.frombuffer(self.lefts.read(_LEFTS * self.length), np.uint8).reshape(-1, self.length)
             out[1:, at : at + len(block)] = block[:, ::-1].T[: self.deepest]
         self.lefts.close()
         return out
 
 
-def repeated_starts(shard: Shard) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """The induced sort of one shard. Gives each row that has some, with the runs (from,
-    to) of distances before the anchor at which a repeated string begins."""
-    n, length, memory = shard.n, shard.length, shard.memory
-    if not n:
-        return
-    rows, left = shard.table(), shard.left()
-    before, after, many, group = rows["before"], rows["after"], rows["many"], rows["group"]
-    deepest, queue = shard.deepest, shard.queue
-    runs = tempfile.SpooledTemporaryFile(memory // 8)
-
-    def close_runs(i: np.ndarray, start: np.ndarray, end: int) -> None:
-        runs.write(np.stack([i, start, np.full(len(i), end)], 1).astype("<i8").tobytes())
-
-    order = np.empty(n, np.int64)
-    shared = np.zeros(n, np.int32)
-    prev_group, prev = -1, b""
-    for at, (g, right, i) in enumerate(queue):
-        order[at] = i
-        if g == prev_group:
-            m = min(len(right), len(prev))
-            if right[:m] == prev[:m]:
-                shared[at] = m
-            else:
-                differ = np.frombuffer(right, np.uint8, m) != np.frombuffer(prev, np.uint8, m)
-                shared[at] = int(differ.argmax())
-        prev_group, prev = g, right
+_TUPLE = np.dtype([("row", "<i8"), ("lcp", "<i4"), ("open", "<i4")])
+_FAR = np.int32(1 << 30)
+_BLOCK = 1 << 17
+
+
+class TupleFile:
+    """Suffix tuples in the order in which they were added, in memory up to ``memory``
+    bytes, then in a file of the task."""
+
+    def __init__(self, memory: int) -> None:
+        self.file, self.n = tempfile.SpooledTemporaryFile(memory), 0
 
-    opened = np.full(n, -1, np.int32)
-    for d in range(deepest + 1):
-        if d:
-            alive = np.flatnonzero(before[order] >= d)
-            keys = group[order[alive]] * 256 + left[d][order[alive]]
-            by = np.argsort(keys, kind="stable")
-            at, keys = alive[by], keys[by]
-            close = np.zeros(len(at), np.int32)
-            same = np.flatnonzero(keys[1:] == keys[:-1]) + 1
-            near = at[same] == at[same - 1] + 1
-            close[same[near]] = shared[at[same[near]]] + 1
-            far = same[~near]
-            if len(far):
-                bounds = np.stack([at[far - 1] + 1, at[far] + 1], 1).ravel()
-                padded = np.append(shared, np.int32(0))
-                close[far] = np.minimum.reduceat(padded, bounds)[::2] + 1
-            order, shared = order[at], close
-        best = np.maximum(shared, np.append(shared[1:], 0))
-        hit = np.zeros(n, bool)
-        hit[order] = ((best >= length) | many[order]) & (after[order] <= d)
-        over = np.flatnonzero(~hit & (opened >= 0))
-        close_runs(over, opened[over], d - 1)
-        opened[~hit] = -1
-        opened[hit & (opened < 0)] = d
-        useful = many[order] | (best + (before[order] - d) >= length)
-        if d % 8 == 0 and not useful.all():
-            keep = np.flatnonzero(useful)
-            if not len(keep):
-                order, shared = order[:0], shared[:0]
-                continue
-            cut = np.minimum.reduceat(np.append(shared, np.int32(0)), np.stack([np.append(0, keep[:-1] + 1), keep + 1], 1).ravel())[::2]
-            order, shared = order[keep], cut
-            shared[0] = 0
-    over = np.flatnonzero(opened >= 0)
-    close_runs(over, opened[over], deepest)
-    count = runs.tell() // 24
-    runs.seek(0)
-    if count * 24 > memory:
-        runs.rollover()
-        found = np.memmap(runs, "<i8", "r", shape=(count, 3))
-    else:
-        found = np.frombuffer(runs.read(), "<i8").reshape(-1, 3)
-    own, held = -1, []
-    by = np.argsort(found[:, 0], kind="stable")
-    for at in range(0, count, _BLOCK):
-        for i, start, end in found[by[at : at + _BLOCK]].tolist():
-            if i != own:
-                if held:
-                    yield own, held
-                own, held = i, []
-            held.append((start, end))
-    if held:
-        yield own, held
+    def add(self, tuples: np.ndarray) -> None:
+        self.file.write(tuples.tobytes())
+        self.n += len(tuples)
+
+    def blocks(self) -> Iterator[np.ndarray]:
+        self.file.seek(0)
+        for at in range(0, self.n, _BLOCK):
+            yield np.frombuffer(self.file.read(min(_BLOCK, self.n - at) * _TUPLE.itemsize), _TUPLE)
+        self.file.close()
+
+
+class InductionQueue:
+    """A monotone priority queue of tuples by group and byte: tuples come group by group
+    and leave by (group, byte), equal ones in the order in which they came. Each keeps as
+    ``lcp`` one more than the least of its own and those that came since the last one of
+    its byte; the first of a byte has 0.
+
+    Whole groups of a block are sorted in memory. A group that goes on in the next block
+    has a ``TupleFile`` for each byte, and of each byte the least ``lcp`` since its last
+    tuple is held."""
+
+    def __init__(self, memory: int) -> None:
+        self.memory, self.out = memory, TupleFile(memory)
+        self.group = None
+        self._reset()
+
+    def _reset(self) -> None:
+        self.buckets: dict[int, TupleFile] = {}
+        self.least = np.full(256, _FAR, np.int32)
+
+    def _flush(self) -> None:
+        for byte in sorted(self.buckets):
+            for block in self.buckets[byte].blocks():
+                self.out.add(block)
+        self._reset()
+
+    def push(self, block: np.ndarray, groups: np.ndarray, byte: np.ndarray, alive: np.ndarray, more: bool) -> None:
+        """``alive``: which tuples of ``block`` are extended; the others' ``lcp`` count
+        for those around them. ``more``: another block follows."""
+        lcp = block["lcp"]
+        at = np.flatnonzero(alive)
+        keys = groups[at] * 256 + byte[at]
+        by = np.argsort(keys, kind="stable")
+        at, keys = at[by], keys[by]
+        new = np.ones(len(at), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        padded = np.append(lcp, _FAR)
+        close = np.zeros(len(at), np.int32)
+        again = np.flatnonzero(~new)
+        if len(again):
+            close[again] = np.minimum.reduceat(padded, np.stack([at[again - 1] + 1, at[again] + 1], 1).ravel())[::2] + 1
+        if self.group is not None and len(at):
+            # What came before this block of the group that goes on in it.
+            first = np.flatnonzero(new & (groups[at] == self.group))
+            running = np.minimum.accumulate(lcp)
+            known = np.minimum(self.least[byte[at[first]]], running[at[first]])
+            seen = np.array([int(b) in self.buckets for b in byte[at[first]]], bool)
+            close[first[seen]] = known[seen] + 1
+        out = block[at]
+        out["lcp"] = close
+        own = groups[at]
+        if self.group is not None:
+            if self.group == groups[-1] and more:
+                self._extend(out, byte[at], at, padded)
+                return
+            goes_on = own == self.group
+            self._extend(out[goes_on], byte[at[goes_on]], at[goes_on], padded)
+            self._flush()
+            out, at, own = out[~goes_on], at[~goes_on], own[~goes_on]
+            self.group = None
+        if more:
+            self.group = groups[-1]
+            last = own == self.group
+            self.out.add(out[~last])
+            self._extend(out[last], byte[at[last]], at[last], padded)
+        else:
+            self.out.add(out)
+
+    def _extend(self, tuples: np.ndarray, byte: np.ndarray, at: np.ndarray, padded: np.ndarray) -> None:
+        """Tuples of the group that may go on, sorted by byte, with their places in the block."""
+        whole = padded.min()
+        present = np.unique(byte)
+        for b in self.buckets.keys() - set(present.tolist()):
+            self.least[b] = min(self.least[b], whole)
+        for b in present.tolist():
+            lo, hi = np.searchsorted(byte, [b, b + 1])
+            if b not in self.buckets:
+                self.buckets[b] = TupleFile(self.memory // 256)
+            self.buckets[b].add(tuples[lo:hi])
+            self.least[b] = padded[at[hi - 1] + 1 :].min()
+
+    def popped(self) -> Iterator[np.ndarray]:
+        self._flush()
+        return self.out.blocks()
+
+
+def _sampled(shard: Shard) -> Iterator[np.ndarray]:
+    """The tuples of the suffixes that begin at anchors, in order."""
+    block, prev_group, prev = [], -1, b""
+    for g, right, i in shard.queue:
+        m = min(len(right), len(prev)) if g == prev_group else 0
+        if right[:m] != prev[:m]:
+            m = int((np.frombuffer(right, np.uint8, m) != np.frombuffer(prev, np.uint8, m)).argmax())
+        block.append((i, m, -1))
+        prev_group, prev = g, right
+        if len(block) == _BLOCK:
+            yield np.array(block, _TUPLE)
+            block = []
+    if block:
+        yield np.array(block, _TUPLE)
+
+
+def _with_next(blocks: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.int32, bool]]:
+    """Each block with the next one's first ``lcp`` and whether there is a next one."""
+    held = None
+    for block in blocks:
+        if held is not None:
+            yield held, block["lcp"][0], True
+        held = block
+    if held is not None:
+        yield held, np.int32(0), False
+
+
+def repeated_starts(shard: Shard) -> Iterator[np.ndarray]:
+    """The induced sort of one shard. Gives arrays of (row, from, to): runs of distances
+    before the row's anchor at which a repeated string begins."""
+    if not shard.n:
+        return
+    rows, left, length, closed = shard.table(), shard.left(), shard.length, []
+
+    def close(row: np.ndarray, start: np.ndarray, end: int) -> None:
+        if len(row):
+            closed.append(np.stack([row, start.astype(np.int64), np.full(len(row), end)], 1))
+
+    def judged(blocks: Iterator[np.ndarray], d: int) -> Iterator[tuple[np.ndarray, bool]]:
+        """Opens and closes runs at distance ``d``; now and then leaves out suffixes that
+        cannot repeat any more, their ``lcp`` going to those after them."""
+        pending, begun = _FAR, False
+        for block, following, more in _with_next(blocks):
+            row, lcp, opened = block["row"], block["lcp"], block["open"]
+            best = np.maximum(lcp, np.append(lcp[1:], following))
+            many, before = rows["many"][row], rows["before"][row]
+            hit = ((best >= length) | many) & (rows["after"][row] <= d)
+            over = ~hit & (opened >= 0)
+            close(row[over], opened[over], d - 1)
+            block = block.copy()
+            block["open"] = np.where(hit, np.where(opened < 0, d, opened), -1)
+            if d % 8 == 0:
+                keep = np.flatnonzero(many | (best + (before - d) >= length))
+                padded = np.append(lcp, _FAR)
+                if len(keep):
+                    cut = np.minimum.reduceat(padded, np.stack([np.append(0, keep[:-1] + 1), keep + 1], 1).ravel())[::2]
+                    cut[0] = min(cut[0], pending) if begun else 0
+                    pending, begun = padded[keep[-1] + 1 :].min(), True
+                    block = block[keep]
+                    block["lcp"] = cut
+                else:
+                    pending, block = min(pending, lcp.min()), block[:0]
+            if len(block):
+                yield block, more
+
+    blocks = _sampled(shard)
+    for d in range(shard.deepest + 1):
+        queue = InductionQueue(shard.memory // 8)
+        held = None
+        for block, _ in judged(blocks, d):
+            if held is not None:
+                _push(queue, held, rows, left, d + 1, True, close)
+            held = block
+        if held is not None:
+            _push(queue, held, rows, left, d + 1, False, close)
+        if sum(map(len, closed)) >= _LEFTS or d == shard.deepest and closed:
+            yield np.concatenate(closed)
+            closed.clear()
+        blocks = queue.popped()
+
+
+def _push(queue: InductionQueue, block: np.ndarray, rows: np.ndarray, left: np.ndarray, d: int, more: bool, close) -> None:
+    """Push a block's suffixes that reach ``d`` bytes before their anchor; runs of the
+    others end."""
+    row = block["row"]
+    alive = rows["before"][row] >= d
+    done = ~alive & (block["open"] >= 0)
+    close(row[done], block["open"][done], d - 1)
+    byte = left[d][row] if d < len(left) else np.zeros(len(row), np.uint8)
+    queue.push(block, rows["group"][row], byte.astype(np.int64), alive, more)
 
 
 def _sorted_shards(segments: DataFrame, length: int, memory: int) -> DataFrame:
-    """(h, u, runs) for the segments (h, part, u, copies, before, after, segment)."""
+    """(h, u, near, far), a row for each run of distances before the anchor, for the
+    segments (h, part, u, copies, before, after, segment)."""
 
     def flush(shard: Shard) -> Iterator[pd.DataFrame]:
-        rows, out = shard.table() if shard.n else None, []
-        for i, runs in repeated_starts(shard):
-            out.append((int(rows[i]["h"]), int(rows[i]["u"]), [x for run in runs for x in run]))
-            if len(out) == _BLOCK:
-                yield pd.DataFrame(out, columns=["h", "u", "runs"])
-                out = []
-        yield pd.DataFrame(out, columns=["h", "u", "runs"])
+        if not shard.n:
+            return
+        rows = shard.table()
+        for found in repeated_starts(shard):
+            own = rows[found[:, 0]]
+            yield pd.DataFrame({"h": own["h"], "u": own["u"], "near": found[:, 1], "far": found[:, 2]})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, last, lone = Shard(length, memory), None, None
@@ -300,7 +420,7 @@ def _sorted_shards(segments: DataFrame, length: int, memory: int) -> DataFrame:
         yield from flush(shard)
 
     parts = common.n_partitions(segments.sparkSession)
-    return segments.repartition(parts, "h", "part").sortWithinPartitions("h", "part", "u").mapInPandas(run, "h long, u long, runs array<int>")
+    return segments.repartition(parts, "h", "part").sortWithinPartitions("h", "part", "u").mapInPandas(run, "h long, u long, near int, far int")
 
 
 def _parted(before: int, after: int, segment: bytes, length: int, gram: int) -> Iterator[tuple[int, int, int, bytes]]:
@@ -345,8 +465,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, memo
 
     segments = joined.mapInPandas(cut, "h long, part long, u long, copies long, before int, after int, segment binary").dropDuplicates(["h", "u", "part"])
     runs = _sorted_shards(segments, length, memory)
-    spans = F.transform(F.expr("sequence(0, size(runs) div 2 - 1)"), lambda i: F.struct((F.col("x") - F.element_at("runs", (2 * i + 2).cast("int"))).alias("s"), (F.col("x") - F.element_at("runs", (2 * i + 1).cast("int")) + length).alias("e")))
-    hits = kept.join(runs, ["h", "u"]).select("doc_id", "k", F.explode(spans).alias("p"))
+    span = F.struct((F.col("x") - F.col("far")).alias("s"), (F.col("x") - F.col("near") + length).alias("e"))
+    hits = kept.join(runs, ["h", "u"]).select("doc_id", "k", span.alias("p"))
     return hits.groupBy("doc_id", "k").agg(F.collect_list("p").alias("spans"))
 
 

@@ -53,6 +53,33 @@ def test_spilling_gives_the_same(spark):
     assert run(spark, rows, length=40, gram=10, memory=2000) == brute(rows, 40)
 
 
+def plain_induction(segments, length):
+    """(row, distance) of the repeated starts, all strings of one distance compared."""
+    seen = Counter((d, s[before - d : before - d + length]) for s, before, after, _ in segments for d in range(after, before + 1))
+    return {(i, d) for i, (s, before, after, many) in enumerate(segments) for d in range(after, before + 1) if many or seen[d, s[before - d : before - d + length]] > 1}
+
+
+def test_induction_in_blocks_equals_comparison(monkeypatch):
+    rng = random.Random(8)
+    for trial in range(60):
+        monkeypatch.setattr(suffix_dedup, "_BLOCK", rng.choice([1, 2, 3, 5, 16, 1000]))
+        length, gram = 12, 3
+        segments, groups = [], []
+        for g in range(rng.randint(1, 4)):
+            core = bytes(rng.choices(b"ab", k=gram))
+            for _ in range(rng.randint(1, 12)):
+                before, after = sorted((rng.randint(0, length - gram), rng.randint(0, length - gram)), reverse=True)
+                s = bytes(rng.choices(b"ab", k=before)) + core + bytes(rng.choices(b"ab", k=length - gram - after))
+                segments.append((s, before, after, rng.random() < 0.1))
+                groups.append(g)
+        shard = suffix_dedup.Shard(length, rng.choice([200, 1 << 20]))
+        for i, ((s, before, after, many), g) in enumerate(zip(segments, groups)):
+            shard.add((g, 0), i, g, 1 + many, before, after, s)
+        got = {(int(r), d) for found in suffix_dedup.repeated_starts(shard) for r, lo, hi in found.tolist() for d in range(lo, hi + 1)}
+        want = {(i, d) for g in set(groups) for own in [[i for i, x in enumerate(groups) if x == g]] for i, d in ((own[k], d) for k, d in plain_induction([segments[i] for i in own], length))}
+        assert got == want, trial
+
+
 def test_pieces_of_a_long_text(spark, monkeypatch):
     rng = random.Random(1)
     shared = "".join(rng.choices("abcdef ", k=900))
