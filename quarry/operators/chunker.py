@@ -8,7 +8,10 @@ the end of the last one.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
+from operator import xor
 from typing import NamedTuple
 
 import pandas as pd
@@ -33,67 +36,58 @@ def _is_fence(line: str) -> bool:
     return line.strip().startswith("```")
 
 
-def _tail(lines: list[str]) -> str:
-    """The last lines that reach ``OVERLAP`` together."""
-    size, at = 0, len(lines)
-    while at and size < OVERLAP:
-        at -= 1
-        size += _estimate(lines[at])
-    return "\n".join(lines[at:])
+def _overlap(lines: list[str]) -> list[str]:
+    """The last of ``lines`` that reach ``OVERLAP`` together; none if they are blank."""
+    sizes = list(accumulate(map(_estimate, reversed(lines))))
+    last = lines[len(lines) - 1 - bisect_left(sizes, OVERLAP, hi=len(sizes) - 1) :]
+    return last if any(last) or len(last) > 1 else []
 
 
 def best_cut(lines: list[str]) -> int:
     """Index of the line before which to cut, 0 if none scores above 1. The best score so
     far is kept as a whole number, so a later line of nearly its score replaces it."""
     first = max(1, len(lines) - LOOK_BACK)
-    fenced = sum(map(_is_fence, lines[:first])) % 2 == 1
+    inside = list(accumulate(map(_is_fence, lines), xor, initial=False))
     best, cut = 0, 0
     for j in range(first, len(lines)):
-        if not fenced:
-            far = (len(lines) - j) / (len(lines) - first + 1)
-            score = break_score(lines[j]) * (1 - far * far * 0.7)
-            if score >= best:
-                best, cut = int(score), j
-        fenced ^= _is_fence(lines[j])
+        far = (len(lines) - j) / (len(lines) - first + 1)
+        score = break_score(lines[j]) * (1 - far * far * 0.7)
+        if not inside[j] and score >= best:
+            best, cut = int(score), j
     return cut if best > 1 else 0
 
 
-def chunk(content: str) -> list[Chunk]:
-    out: list[Chunk] = []
-    held, size, pos, pending, fenced = "", 0, 0, "", False
+def _divide(lines: list[str], line: str) -> tuple[list[str], list[str], int]:
+    """The lines of a full chunk, those left for the next, and how many lines before the
+    present ``line`` that one begins. The last of ``lines`` is not ended yet."""
+    at = best_cut(lines)
+    if at:
+        return lines[:at], [*lines[at:], line], len(lines) - at
+    return [*lines[:-1], lines[-1] + line, ""], [""], -1
 
-    def emit(text: str) -> None:
-        if text.strip():
-            out.append(Chunk(len(out), pos, text.strip()))
 
-    for i, line in enumerate(content.split("\n")):
-        fenced ^= _is_fence(line)
+def chunk(content: str) -> list[Chunk]:
+    lines = content.split("\n")
+    inside = accumulate(map(_is_fence, lines), xor)
+    full: list[tuple[int, list[str]]] = []
+    begun, size, pos, carried = [""], 0, 0, []
+    for i, (line, fenced) in enumerate(zip(lines, inside)):
         size += _estimate(line)
-        if size < TARGET or fenced:
-            if not held:
-                pos = i
-                if pending:
-                    held, pending = pending + "\n", ""
-                    size = _estimate(held)
-            held += line + "\n"
+        if size >= TARGET and not fenced:
+            done, rest, back = _divide(begun, line)
+            full.append((pos, done))
+            carried = _overlap(done)
+            begun, pos = [*carried, *rest], i - back
+            size = _estimate("\n".join(begun))
             continue
-        lines = held.split("\n")
-        cut = best_cut(lines)
-        if cut:
-            emit("\n".join(lines[:cut]))
-            pending = _tail(lines[:cut])
-            pos = i - (len(lines) - cut)
-            held = (pending + "\n" if pending else "") + "\n".join(lines[cut:]) + "\n" + line
-            size = _estimate(held)
-        else:
-            held += line + "\n"
-            pending = _tail(held.split("\n"))
-            emit(held)
-            pos = i + 1
-            held = pending + "\n" if pending else ""
-            size = _estimate(held)
-    emit(held)
-    return out
+        if begun == [""]:
+            pos = i
+            if carried:
+                begun, carried = [*carried, ""], []
+                size = _estimate("\n".join(begun))
+        begun[-1:] = [begun[-1] + line, ""]
+    texts = [(at, "\n".join(own).strip()) for at, own in [*full, (pos, begun)]]
+    return [Chunk(k, at, text) for k, (at, text) in enumerate(t for t in texts if t[1])]
 
 
 def chunk_documents(docs: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from quarry.models import StubEngine
 from quarry.operators import chunker, hybrid, lookup, search
 from quarry.operators.index import stem
 from quarry.operators.query import LINE_MARKS, expansions, parse
-from quarry.plans import adapter
+from quarry.plans import adapter, chunks
 from quarry.plans.adapter import DOCS, SEVERAL, VECTORS
 from quarry.plans.oracle import TOKENS, fused, nearest, normalized, result, scores, simple, statement, top
 from quarry.plans.stems import STEMMED_TOKENS, stems
@@ -403,7 +403,7 @@ def break_score(spark: SparkSession, sf: str) -> DataFrame:
     return adapter.documents(spark, sf).select(F.col("id").alias("doc_id"), F.size(lines).cast("long").alias("n_lines"), total.cast("long").alias("total"))
 
 
-@register("chunk_documents")
+@register("chunk_documents", chunks.SQL)
 def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
     return chunker.chunk_documents(adapter.documents(spark, sf))
 
