@@ -128,7 +128,7 @@ def test_a_shard_of_one_gram_stays_on_disk():
     copy = rng.randbytes(200) + b"g" * 100 + rng.randbytes(200)
     for i in range(2):
         shard.add((7, 0), n + i, 7, 1, 200, 0, copy)
-    found = dict(suffix_dedup.repeated_starts(shard))
+    found = {row for block in suffix_dedup.repeated_starts(shard) for row in block[:, 0].tolist()}
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert sorted(found) == [n, n + 1] and peak < 10 * memory < shard.size
