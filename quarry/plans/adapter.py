@@ -44,7 +44,7 @@ def index(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> Index:
     files = read(spark, sf_dir, "documents").inputFiles()
     key = (spark.sparkContext.applicationId, sf_dir, *sorted(shared.state(spark, f) for f in files))
     path, has_stems = _indexes.get(key, (None, False))
-    if path is None or stemmed and not has_stems:
+    if path is None or stemmed and not has_stems or not shared.exists(spark, f"{path}/statistics"):
         path = shared.new_folder(spark)
         inverted.build(documents(spark, sf_dir), path, stemmed)
         _indexes[key] = path, stemmed
