@@ -86,7 +86,7 @@ _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """``m**i`` and ``m**-i`` modulo 2**64 for ``i < n``."""
     if len(_powers[0]) < n:
-        n = max(n, 1 << 21)
+        n = max(n, 1 << 20)
         for at, base in enumerate((_MULTIPLIER, _INVERSE)):
             steps = np.full(n, base, U64)
             steps[0] = 1
@@ -129,6 +129,20 @@ def batches_by_bytes(values: Sequence[bytes], limit: int = 1 << 21) -> Iterator[
         yield start, len(values)
 
 
+def text_batches(texts: Sequence[str | None], limit: int = 1 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Index ranges of about ``limit`` characters and their texts as UTF-8, encoded range by
+    range, so that a batch of rows is not held twice."""
+    start, held = 0, 0
+    for i, t in enumerate(texts):
+        n = len(t) if isinstance(t, str) else 0
+        if held and held + n > limit:
+            yield start, i, [utf8(x) for x in texts[start:i]]
+            start, held = i, 0
+        held += n + 1
+    if start < len(texts):
+        yield start, len(texts), [utf8(x) for x in texts[start:]]
+
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)

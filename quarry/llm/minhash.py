@@ -35,7 +35,7 @@ SIDE = 16
 ROWS = 4
 SHINGLE = 5
 #: Bytes of text that one comparison holds, about; with another block, twice as many.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 
 _SEEDS = common.mix(np.arange(1, 2 * SIDE * ROWS + 1, dtype=U64) * U64(0xC2B2AE3D27D4EB4F))
 
@@ -60,9 +60,8 @@ def sketches(docs: DataFrame, side: int = SIDE, rows: int = ROWS, shingle: int =
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            values = [common.utf8(t) for t in pdf["text"]]
-            for lo, hi in common.batches_by_bytes(values):
-                sets = common.shingle_sets(values[lo:hi], shingle)
+            for lo, hi, values in common.text_batches(pdf["text"].tolist()):
+                sets = common.shingle_sets(values, shingle)
                 size = np.array([len(s) for s in sets])
                 full = np.flatnonzero(size)
                 name = np.zeros((2, len(sets)), U64)
@@ -79,7 +78,7 @@ def sketches(docs: DataFrame, side: int = SIDE, rows: int = ROWS, shingle: int =
                     {
                         "doc_id": pdf["doc_id"].iloc[lo:hi].to_numpy(),
                         "k": pdf["k"].iloc[lo:hi].to_numpy(),
-                        "n_bytes": [len(v) for v in values[lo:hi]],
+                        "n_bytes": [len(v) for v in values],
                         "n_shingles": size,
                         "s1": name[0].view(np.int64),
                         "s2": name[1].view(np.int64),

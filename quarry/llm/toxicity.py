@@ -198,8 +198,7 @@ def score(docs: DataFrame, models: list[Linear], categories: tuple[str, ...]) ->
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            values = [common.utf8(t) for t in pdf["text"]]
-            parts = [probabilities(models, values[lo:hi]) for lo, hi in common.batches_by_bytes(values)]
+            parts = [probabilities(models, values) for _, _, values in common.text_batches(pdf["text"].tolist())]
             p = np.concatenate(parts) if parts else np.zeros((0, len(names)))
             yield pdf.assign(**{c: p[:, i] for i, c in enumerate(names)})
 
