@@ -6,7 +6,8 @@ positions of a term in a field, with what a score needs of the document, and the
 sorted by term, so a query reads the row groups that hold its terms or prefixes and no
 text. A term that is everywhere is spread over several files by the document's id.
 
-Stems have postings of their own: distinct terms are stemmed once and joined back.
+Stems have postings of their own: distinct terms are stemmed once (the vocabulary table)
+and joined back.
 """
 
 from __future__ import annotations
@@ -66,8 +67,10 @@ def build(docs: DataFrame, path: str, stemmed: bool = True) -> None:
     _write(gathered, f"{path}/postings")
     postings = spark.read.parquet(f"{path}/postings")
     if stemmed:
-        stems = postings.select("term").distinct().select("term", stem("term").alias("stem"))
-        merged = postings.join(stems, "term").groupBy(F.col("stem").alias("term"), "id", "field", *OWN)
+        # Written first: the join's sides are then plain shuffles, and a term that is
+        # everywhere can be dealt to several tasks.
+        postings.select("term").distinct().select("term", stem("term").alias("stem")).write.mode("overwrite").parquet(f"{path}/vocabulary")
+        merged = postings.join(spark.read.parquet(f"{path}/vocabulary"), "term").groupBy(F.col("stem").alias("term"), "id", "field", *OWN)
         _write(merged.agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions")), f"{path}/stems")
     counts = postings.groupBy("id").agg(F.first("tokens").alias("tokens"))
     plain = docs.select("id", "collection", "path", "title", "docid", "hash", "active", "doc_len", "context")
