@@ -5,9 +5,9 @@ nothing where it stays and one where it moves. The flow gives block transfers be
 shards. Within an old shard documents stand in order of size class, large ones first, so
 that the cuts between blocks fall on small documents; a document belongs to the block
 that holds its middle byte. Running positions come from sums over (shard, class, part),
-of which the driver holds one number each, and from a window inside a part. A class of a
-shard has a part for every ``PART_BYTES`` that it holds, so no task sees a whole shard
-and parts are alike in size.
+of which the driver holds one number each, and from a window inside a part. Classes are
+dealt to parts of about an eighth of a task's share of all bytes, so no task sees a whole
+shard, and tasks are alike in size.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ from . import common
 OVERHEAD = 16
 OLD_SHARDS = 32
 NEW_SHARDS = 40
-PART_BYTES = 64 << 20
+PARTS_A_TASK = 8
+LEAST_PART = 64 << 10
 
 
 def min_cost_flow(supply: Sequence[int], demand: Sequence[int], cost: Sequence[Sequence[int]]) -> list[tuple[int, int, int]]:
@@ -86,7 +87,7 @@ def transfers(old_sizes: Sequence[int], capacities: Sequence[int]) -> list[tuple
     return min_cost_flow(old_sizes, capacities, cost)
 
 
-def reshard(docs: DataFrame, old_shard, new_shards: int = NEW_SHARDS, old_shards: int = OLD_SHARDS, part_bytes: int = PART_BYTES) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+def reshard(docs: DataFrame, old_shard, new_shards: int = NEW_SHARDS, old_shards: int = OLD_SHARDS, least_part: int = LEAST_PART) -> tuple[DataFrame, list[tuple[int, int, int]]]:
     """The rows of ``docs`` (doc_id, text) with size, old_shard, shard and slot, and the
     transfers made. ``old_shard``: column with the number of the shard that holds a row.
 
@@ -102,7 +103,9 @@ def reshard(docs: DataFrame, old_shard, new_shards: int = NEW_SHARDS, old_shards
     block = ["old_shard", "class", "part"]
     light = common.stage(docs.drop("text"))
     # One row for each class of a shard: at most ``old_shards`` times 64.
-    each = [(r["old_shard"], r["class"], -(-r["bytes"] // part_bytes)) for r in light.groupBy("old_shard", "class").agg(F.sum("size").alias("bytes")).collect()]
+    each = light.groupBy("old_shard", "class").agg(F.sum("size").alias("bytes")).collect()
+    share = max(least_part, sum(r["bytes"] for r in each) // (PARTS_A_TASK * parts))
+    each = [(r["old_shard"], r["class"], -(-r["bytes"] // share)) for r in each]
     each = F.broadcast(spark.createDataFrame(each or [(0, 0, 1)], "old_shard int, class int, each long"))
     seeded = F.pmod(F.xxhash64("doc_id", "tie", F.lit(1)), F.col("each")).cast("int")
     light, docs = (x.join(each, ["old_shard", "class"]).withColumn("part", seeded).drop("each") for x in (light, docs))

@@ -61,3 +61,25 @@ def test_nulls_repeats_and_nothing(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
     placed, _ = resharding.reshard(df.where("false"), F.lit(0))
     assert placed.collect() == []
+
+
+def test_placement_by_a_plain_walk(spark):
+    """The documents of an old shard stand by size class and part; each goes where its middle
+    byte goes, and slots count on in that order."""
+    rng = random.Random(3)
+    rows = [(i, "x" * rng.choice([0, 5, 40, 700, 5000]) + str(i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    placed, moves = resharding.reshard(df, F.col("doc_id") % 3, new_shards=5, old_shards=3, least_part=1000)
+    got = placed.withColumn("part", F.spark_partition_id()).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    took = Counter()
+    for r in got:
+        assert r.size == len(rows[r.doc_id][1]) + 16 and r.old_shard == r.doc_id % 3
+        took[r.old_shard, r.shard] += r.size
+    largest = max(len(t) for _, t in rows) + 16
+    want = Counter({(a, b): n for a, b, n in moves})
+    assert all(abs(took[k] - want[k]) <= 2 * largest for k in set(took) | set(want))
+    for shard in range(5):
+        own = sorted((r.slot, r.old_shard, -r.size) for r in got if r.shard == shard)
+        assert [s for s, _, _ in own] == list(range(len(own)))
+        assert [(o, (-n).bit_length()) for _, o, n in own] == sorted(((o, (-n).bit_length()) for _, o, n in own), key=lambda x: (x[0], -x[1]))
