@@ -93,20 +93,22 @@ def sketches(docs: DataFrame, side: int = SIDE, rows: int = ROWS, shingle: int =
 
 def candidate_links(sets: DataFrame) -> DataFrame:
     """Star edges (u, v) of every table bucket over distinct sets (rep, a, b)."""
+    # Spark takes an exploded table for as small as its files and would gather it in the
+    # driver; all joins here are therefore merged.
     lone = sets.select("rep", F.posexplode(F.concat("a", "b")).alias("i", "h"))
     met = lone.groupBy("i", "h").agg(F.count("*").alias("n")).where("n > 1")
     side = sets.select(F.size("a").alias("side")).limit(1)
     side = (side.first() or [SIDE])[0]
     some = (
-        lone.join(met.select("i", "h"), ["i", "h"], "left_semi")
+        lone.join(met.select("i", "h").hint("merge"), ["i", "h"], "left_semi")
         .groupBy("rep")
         .agg(F.max(F.col("i") < side).alias("in_a"), F.max(F.col("i") >= side).alias("in_b"))
         .where("in_a and in_b")
     )
-    kept = common.stage(sets.join(some.select("rep"), "rep", "left_semi").select("rep", "a", "b"))
+    kept = common.stage(sets.join(some.select("rep").hint("merge"), "rep", "left_semi").select("rep", "a", "b"))
     keys = kept.select("rep", F.posexplode("a").alias("i", "x"), "b").select("rep", "i", "x", F.posexplode("b").alias("j", "y")).select("rep", F.xxhash64("i", "x", "j", "y").alias("key"))
     lead = keys.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead")
-    return keys.join(lead, "key").where("rep <> lead").select(F.col("rep").alias("u"), F.col("lead").alias("v")).distinct()
+    return keys.join(lead.hint("merge"), "key").where("rep <> lead").select(F.col("rep").alias("u"), F.col("lead").alias("v")).distinct()
 
 
 def _links(sets: list[np.ndarray], group: np.ndarray, sides: np.ndarray | None, percent: int) -> list[int]:
@@ -174,7 +176,7 @@ def verified_links(members: DataFrame, texts: DataFrame, percent: int, shingle:
     candidate group. ``members``: node, grp (its least node), doc_id, k, n_bytes;
     ``texts``: doc_id, k, text."""
     sizes = members.groupBy("grp").agg(F.ceil(F.sum("n_bytes") / block).cast("int").alias("blocks"))
-    members = common.stage(members.join(sizes, "grp").withColumn("own", F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1)).cast("long")).cast("int")))
+    members = common.stage(members.join(sizes.hint("merge"), "grp").withColumn("own", F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1)).cast("long")).cast("int")))
     # A sort-merge join at every size: texts move once, in proportion to the input.
     whole = texts.hint("merge").join(members.select("node", "grp", "blocks", "own", "doc_id", "k"), ["doc_id", "k"])
     alone = whole.withColumn("block", F.explode(F.when((F.col("node") == F.col("grp")) & (F.col("blocks") > 1), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))))
@@ -183,9 +185,9 @@ def verified_links(members: DataFrame, texts: DataFrame, percent: int, shingle:
     if large.isEmpty():
         return links
     near = common.stage(common.connected_components(links))
-    large = large.join(near.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    large = large.join(near.withColumnRenamed("component", "label").hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     split = large.groupBy("grp").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("grp")
-    large = common.stage(large.join(split, "grp", "left_semi"))
+    large = common.stage(large.join(split.hint("merge"), "grp", "left_semi"))
     if large.isEmpty():
         return links
     across = texts.hint("merge").join(large.select("node", "grp", "blocks", "own", "label", "doc_id", "k"), ["doc_id", "k"])
@@ -204,20 +206,20 @@ def classify(docs: DataFrame, percent: int = 85, side: int = SIDE, rows: int = R
     shared = common.stage(sets.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("shared")))
     node, apart = F.col("doc_id"), shared.isEmpty()
     if not apart:
-        sets, node = sets.join(shared, "doc_id", "left"), F.when(F.col("shared"), F.xxhash64("doc_id", "s1", "s2")).otherwise(F.col("doc_id"))
+        sets, node = sets.join(shared.hint("merge"), "doc_id", "left"), F.when(F.col("shared"), F.xxhash64("doc_id", "s1", "s2")).otherwise(F.col("doc_id"))
     sets = common.stage(sets.select(node.alias("rep"), "s1", "s2", "doc_id", "k", "n_bytes", "a", "b"))
     groups = common.connected_components(candidate_links(sets)).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
-    members = sets.select("rep", "doc_id", "k", "n_bytes").join(groups, "rep").withColumnRenamed("rep", "node")
+    members = sets.select("rep", "doc_id", "k", "n_bytes").join(groups.hint("merge"), "rep").withColumnRenamed("rep", "node")
     texts = docs.select("doc_id", F.xxhash64("text").alias("k"), "text").where("doc_id is not null")
     links = verified_links(members, texts, percent, shingle, block)
     classes = common.stage(common.connected_components(links)).withColumnRenamed("node", "rep")
-    named = sets.select("s1", "s2", "doc_id", "rep").join(classes, "rep", "left").withColumn("least", F.col("component"))
+    named = sets.select("s1", "s2", "doc_id", "rep").join(classes.hint("merge"), "rep", "left").withColumn("least", F.col("component"))
     if not apart:
         named = common.stage(named.drop("least"))
         least = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
-        named = named.join(least, "component", "left")
+        named = named.join(least.hint("merge"), "component", "left")
     named = named.select("s1", "s2", F.coalesce("least", "doc_id").alias("component_id"))
-    out = found.select("doc_id", "k", "n_shingles", "s1", "s2").join(named, ["s1", "s2"], "left")
+    out = found.select("doc_id", "k", "n_shingles", "s1", "s2").join(named.hint("merge"), ["s1", "s2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "k", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
@@ -244,7 +246,7 @@ def distinct_documents(docs: DataFrame, **options) -> DataFrame:
     """
     gone = classify(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("k").alias("_k")).distinct()
     keyed = docs.where("doc_id is not null").withColumn("_key", F.xxhash64("text"))
-    rest = keyed.join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_k")), "left_anti")
+    rest = keyed.join(gone.hint("merge"), (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_k")), "left_anti")
     columns = [c for c in docs.columns if c != "doc_id"]
     first = F.struct("text", *(c for c in columns if c != "text"))
     single = rest.groupBy("doc_id", "_key").agg(F.min(first).alias("row")).select("doc_id", *(F.col(f"row.{c}").alias(c) for c in columns))

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from quarry.llm import minhash
+from quarry.llm import common, minhash
 
 
 def brute(rows, percent=85):
@@ -89,3 +89,15 @@ def test_empty_repeated_and_extra(spark):
 def test_links_survive_other_shapes(spark, side, rows):
     df = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "q r s t u v w")], "doc_id long, text string")
     assert sorted(r.component_id for r in minhash.near_duplicates(df, side=side, rows=rows).collect()) == [1, 1, 3]
+
+
+def test_nothing_that_grows_is_broadcast(spark):
+    """A few files of sketches explode to 256 keys a set, which Spark does not foresee."""
+    plans = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") in ("10485760", "10485760b", "10MB")
+    sets = minhash.sketches(docs).where("n_shingles > 0").selectExpr("doc_id as rep", "a", "b")
+    edges = common.stage(minhash.candidate_links(common.stage(sets)))
+    assert edges.count() > 0
+    for df in (minhash.candidate_links(sets), common._minimum_step(edges, True), common._minimum_step(edges, False), minhash.distinct_documents(docs)):
+        assert "Join" in plans(df) and "BroadcastHashJoin" not in plans(df)
