@@ -77,3 +77,19 @@ def test_nulls_repeats_and_nothing(spark, tmp_path):
         for _, f in corpus_pipeline.STAGES:
             docs = f(spark, docs, str(tmp_path))
         assert docs.count() == n
+
+
+def test_near_duplicates_gather_nothing_in_the_driver(spark, monkeypatch):
+    """Each table that the stage writes, and its result, is planned without a broadcast."""
+    plans, write = [], common.stage
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    def stage(df, *by):
+        plans.append(plan(df))
+        return write(df, *by)
+
+    monkeypatch.setattr(common, "stage", stage)
+    docs = common.table(spark, "/root/testdata/sf0.001", "documents")
+    plans.append(plan(corpus_pipeline.drop_near_duplicates(spark, docs, "/root/testdata/sf0.001")))
+    assert len(plans) > 9 and sum("SortMergeJoin" in x for x in plans) > 5
+    assert not any("BroadcastHashJoin" in x for x in plans)
