@@ -34,6 +34,8 @@ from .common import U64
 SIDE = 16
 ROWS = 4
 SHINGLE = 5
+#: Size of the bitmap of the texts that are to be compared, as a power of two.
+FILTER_BITS = 24
 #: Bytes of text that one comparison holds, about; with another block, twice as many.
 BLOCK = 2 << 20
 
@@ -94,7 +96,7 @@ def sketches(docs: DataFrame, side: int = SIDE, rows: int = ROWS, shingle: int =
 def candidate_links(sets: DataFrame) -> DataFrame:
     """Star edges (u, v) of every table bucket over distinct sets (rep, a, b)."""
     # Spark takes an exploded table for as small as its files and would gather it in the
-    # driver; all joins here are therefore merged.
+    # driver; all joins here but that of ``texts_of`` are merged.
     lone = sets.select("rep", F.posexplode(F.concat("a", "b")).alias("i", "h"))
     met = lone.groupBy("i", "h").agg(F.count("*").alias("n")).where("n > 1")
     side = sets.select(F.size("a").alias("side")).limit(1)
@@ -143,6 +145,19 @@ def _links(sets: list[np.ndarray], group: np.ndarray, sides: np.ndarray | None,
     return group.tolist()
 
 
+def texts_of(texts: DataFrame, members: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows of ``texts`` with doc_id and k of one of ``members``, and a few others: their
+    hash is looked up in a bitmap of ``2**bits`` bits, so that the rest is not moved. Its rows
+    of 4 KB (2 MB at most, for any number of members) are all that is broadcast."""
+    slot = F.shiftrightunsigned(F.xxhash64("doc_id", "k"), 64 - bits)
+    row, place = F.shiftright(slot, 15), slot.bitwiseAND(F.lit(32767))
+    held = members.select(row.alias("_row"), place.alias("place")).repartition(common.n_partitions(members.sparkSession), "_row")
+    held = held.groupBy("_row").agg(F.bitmap_construct_agg("place").alias("_bits"))
+    byte = F.hex(F.substring("_bits", F.shiftright(place, 3).cast("int") + 1, F.lit(1)))
+    found = F.getbit(F.conv(byte, 16, 10).cast("int"), place.bitwiseAND(F.lit(7)).cast("int")) == 1
+    return texts.withColumn("_row", row).join(F.broadcast(held), "_row").where(found).select(*texts.columns)
+
+
 def _settled(units: DataFrame, keys: list[str], percent: int, shingle: int) -> DataFrame:
     """Star edges (u, v) of the classes within each unit (``keys``, node, label, text and
     own: the side, where two blocks meet, else null)."""
@@ -177,8 +192,8 @@ def verified_links(members: DataFrame, texts: DataFrame, percent: int, shingle:
     ``texts``: doc_id, k, text."""
     sizes = members.groupBy("grp").agg(F.ceil(F.sum("n_bytes") / block).cast("int").alias("blocks"))
     members = common.stage(members.join(sizes.hint("merge"), "grp").withColumn("own", F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1)).cast("long")).cast("int")))
-    # A sort-merge join at every size: texts move once, in proportion to the input.
-    whole = texts.hint("merge").join(members.select("node", "grp", "blocks", "own", "doc_id", "k"), ["doc_id", "k"])
+    # A sort-merge join at every size: texts to be compared move once.
+    whole = texts_of(texts, members).hint("merge").join(members.select("node", "grp", "blocks", "own", "doc_id", "k"), ["doc_id", "k"])
     alone = whole.withColumn("block", F.explode(F.when((F.col("node") == F.col("grp")) & (F.col("blocks") > 1), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))))
     links = common.stage(_settled(alone.withColumn("label", F.col("node")).withColumn("own", F.lit(None).cast("int")), ["grp", "block"], percent, shingle))
     large = members.where("blocks > 1")
@@ -190,7 +205,7 @@ def verified_links(members: DataFrame, texts: DataFrame, percent: int, shingle:
     large = common.stage(large.join(split.hint("merge"), "grp", "left_semi"))
     if large.isEmpty():
         return links
-    across = texts.hint("merge").join(large.select("node", "grp", "blocks", "own", "label", "doc_id", "k"), ["doc_id", "k"])
+    across = texts_of(texts, large).hint("merge").join(large.select("node", "grp", "blocks", "own", "label", "doc_id", "k"), ["doc_id", "k"])
     across = across.withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("own"))))
     across = across.withColumn("b1", F.least("own", "other")).withColumn("b2", F.greatest("own", "other"))
     return links.unionByName(_settled(across, ["grp", "b1", "b2"], percent, shingle))

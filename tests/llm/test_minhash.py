@@ -101,3 +101,17 @@ def test_nothing_that_grows_is_broadcast(spark):
     assert edges.count() > 0
     for df in (minhash.candidate_links(sets), common._minimum_step(edges, True), common._minimum_step(edges, False), minhash.distinct_documents(docs)):
         assert "Join" in plans(df) and "BroadcastHashJoin" not in plans(df)
+
+
+def test_only_texts_to_be_compared_are_moved(spark, monkeypatch):
+    rows = [(i, f"text {i}") for i in range(3000)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "xxhash64(text) as k", "text")
+    for bits in (24, 18, 15):
+        got = {r.doc_id for r in minhash.texts_of(texts, texts.where("doc_id % 10 = 0"), bits).collect()}
+        assert got >= set(range(0, 3000, 10)) and len(got) <= 300 + 2700 * 300 / 2**bits * 3 + 1
+    assert minhash.texts_of(texts, texts.where("false")).collect() == []
+    seen = []
+    monkeypatch.setattr(minhash, "texts_of", lambda t, m, f=minhash.texts_of: seen.append(f(t, m)) or seen[-1])
+    rows += [(4000 + i, " ".join(f"w{j}" for j in range(80 + i % 2))) for i in range(10)]
+    assert sum(not r.kept for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == 9
+    assert [x.count() for x in seen] == [2]
