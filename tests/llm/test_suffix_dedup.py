@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 
 from quarry.llm import suffix_dedup
 
@@ -132,3 +133,29 @@ def test_a_shard_of_one_gram_stays_on_disk():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert sorted(found) == [n, n + 1] and peak < 10 * memory < shard.size
+
+
+def test_a_batch_of_rows_leaves_in_small_frames():
+    """10,000 rows of 5 KB, as Spark hands them over: neither the anchors nor the kept bytes
+    of all of them are held at once."""
+    import tracemalloc
+
+    rng = random.Random(2)
+    base = ["".join(rng.choices("abcdefgh ", k=5000)) for _ in range(50)]
+    texts = [base[i % 50] for i in range(10_000)]
+    spans = [[{"s": 100, "e": 600}, {"s": 400, "e": 900}] if i % 2 else None for i in range(10_000)]
+    pdf = pd.DataFrame({"doc_id": range(10_000), "k": 0, "text": texts, "spans": spans})
+    tracemalloc.start()
+    ids, places = [], 0
+    for f in suffix_dedup._kept_frames(iter([pdf])):
+        assert f["kept"].map(len).sum() < 2 << 20
+        ids += f["doc_id"].tolist()
+        odd = f[f["doc_id"] % 2 == 1]
+        assert [x for s in odd["spans"] for x in s] == [{"start": 100, "end": 900}] * len(odd)
+        assert all(len(k) == 4200 for k in odd["kept"])
+    assert ids == list(range(10_000))
+    for f in suffix_dedup._anchor_frames(iter([pdf[:2000]]), 400, 100):
+        places += len(f)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert places > 2000 and peak < 130 << 20
