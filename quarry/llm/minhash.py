@@ -96,7 +96,7 @@ def sketches(docs: DataFrame, side: int = SIDE, rows: int = ROWS, shingle: int =
 def candidate_links(sets: DataFrame) -> DataFrame:
     """Star edges (u, v) of every table bucket over distinct sets (rep, a, b)."""
     # Spark takes an exploded table for as small as its files and would gather it in the
-    # driver; all joins here but that of ``texts_of`` are merged.
+    # driver; all joins here are merged but that of ``texts_of``, which the pipeline leaves out.
     lone = sets.select("rep", F.posexplode(F.concat("a", "b")).alias("i", "h"))
     met = lone.groupBy("i", "h").agg(F.count("*").alias("n")).where("n > 1")
     side = sets.select(F.size("a").alias("side")).limit(1)
@@ -186,18 +186,22 @@ def _settled(units: DataFrame, keys: list[str], percent: int, shingle: int) -> D
     return units.select(*keys, "node", "label", "own", "text").repartition(parts, *keys).sortWithinPartitions(*keys, "node").mapInPandas(run, "u long, v long")
 
 
-def verified_links(members: DataFrame, texts: DataFrame, percent: int, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+def verified_links(members: DataFrame, texts: DataFrame, percent: int, shingle: int = SHINGLE, block: int = BLOCK, bitmap: bool = True) -> DataFrame:
     """Edges (u, v) whose components are the classes that verified links form within each
     candidate group. ``members``: node, grp (its least node), doc_id, k, n_bytes;
-    ``texts``: doc_id, k, text."""
+    ``texts``: doc_id, k, text. Without ``bitmap`` all of ``texts`` are moved, once, and
+    nothing is broadcast."""
     sizes = members.groupBy("grp").agg(F.ceil(F.sum("n_bytes") / block).cast("int").alias("blocks"))
     members = common.stage(members.join(sizes.hint("merge"), "grp").withColumn("own", F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1)).cast("long")).cast("int")))
     # A sort-merge join at every size: texts to be compared move once.
-    whole = texts_of(texts, members).hint("merge").join(members.select("node", "grp", "blocks", "own", "doc_id", "k"), ["doc_id", "k"])
+    whole = (texts_of(texts, members) if bitmap else texts).hint("merge").join(members.select("node", "grp", "blocks", "own", "doc_id", "k"), ["doc_id", "k"])
+    large = members.where("blocks > 1")
+    several = not large.isEmpty()
+    if several:
+        whole = common.stage(whole.select("node", "grp", "blocks", "own", "text"))
     alone = whole.withColumn("block", F.explode(F.when((F.col("node") == F.col("grp")) & (F.col("blocks") > 1), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))))
     links = common.stage(_settled(alone.withColumn("label", F.col("node")).withColumn("own", F.lit(None).cast("int")), ["grp", "block"], percent, shingle))
-    large = members.where("blocks > 1")
-    if large.isEmpty():
+    if not several:
         return links
     near = common.stage(common.connected_components(links))
     large = large.join(near.withColumnRenamed("component", "label").hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -205,14 +209,15 @@ def verified_links(members: DataFrame, texts: DataFrame, percent: int, shingle:
     large = common.stage(large.join(split.hint("merge"), "grp", "left_semi"))
     if large.isEmpty():
         return links
-    across = texts_of(texts, large).hint("merge").join(large.select("node", "grp", "blocks", "own", "label", "doc_id", "k"), ["doc_id", "k"])
+    across = whole.hint("merge").join(large.select("node", "label"), "node")
     across = across.withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("own"))))
     across = across.withColumn("b1", F.least("own", "other")).withColumn("b2", F.greatest("own", "other"))
     return links.unionByName(_settled(across, ["grp", "b1", "b2"], percent, shingle))
 
 
-def classify(docs: DataFrame, percent: int = 85, side: int = SIDE, rows: int = ROWS, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """:func:`near_duplicates` with k, the hash of the row's text."""
+def classify(docs: DataFrame, percent: int = 85, side: int = SIDE, rows: int = ROWS, shingle: int = SHINGLE, block: int = BLOCK, bitmap: bool = True) -> DataFrame:
+    """:func:`near_duplicates` with k, the hash of the row's text. Without ``bitmap`` nothing
+    is broadcast."""
     found = common.stage(sketches(docs, side, rows, shingle))
     full = found.where("n_shingles > 0")
     sets = full.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "k", "n_bytes")).alias("at"), F.first("a").alias("a"), F.first("b").alias("b"))
@@ -226,7 +231,7 @@ def classify(docs: DataFrame, percent: int = 85, side: int = SIDE, rows: int = R
     groups = common.connected_components(candidate_links(sets)).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
     members = sets.select("rep", "doc_id", "k", "n_bytes").join(groups.hint("merge"), "rep").withColumnRenamed("rep", "node")
     texts = docs.select("doc_id", F.xxhash64("text").alias("k"), "text").where("doc_id is not null")
-    links = verified_links(members, texts, percent, shingle, block)
+    links = verified_links(members, texts, percent, shingle, block, bitmap)
     classes = common.stage(common.connected_components(links)).withColumnRenamed("node", "rep")
     named = sets.select("s1", "s2", "doc_id", "rep").join(classes.hint("merge"), "rep", "left").withColumn("least", F.col("component"))
     if not apart:
@@ -257,9 +262,10 @@ def distinct_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each class, that with the smallest doc_id.
 
     Rows without a doc_id stay, as do rows without words. Of rows with equal doc_id and
-    text one stays; different texts under one doc_id are judged one by one.
+    text one stays; different texts under one doc_id are judged one by one. Nothing is
+    broadcast: the driver may be full of what earlier stages left.
     """
-    gone = classify(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("k").alias("_k")).distinct()
+    gone = classify(docs, bitmap=False, **options).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("k").alias("_k")).distinct()
     keyed = docs.where("doc_id is not null").withColumn("_key", F.xxhash64("text"))
     rest = keyed.join(gone.hint("merge"), (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_k")), "left_anti")
     columns = [c for c in docs.columns if c != "doc_id"]

@@ -6,7 +6,7 @@ from test_minhash import brute as near_groups
 from test_packing import check_rows
 from test_pii import plain
 
-from quarry.llm import common
+from quarry.llm import common, minhash
 
 SF = "/root/testdata/sf0.01"
 INSULTS = set("idiot clown moron worthless pathetic disgusting stupid trash loser scum".split())
@@ -93,3 +93,25 @@ def test_near_duplicates_gather_nothing_in_the_driver(spark, monkeypatch):
     plans.append(plan(corpus_pipeline.drop_near_duplicates(spark, docs, "/root/testdata/sf0.001")))
     assert len(plans) > 9 and sum("SortMergeJoin" in x for x in plans) > 5
     assert not any("BroadcastHashJoin" in x for x in plans)
+
+
+def test_large_groups_are_compared_without_a_broadcast(spark, monkeypatch):
+    """Groups of several blocks, in several classes: right, and read from what was moved once."""
+    plans, write, moved = [], common.stage, []
+    plan = lambda df: df._jdf.queryExecution().toString()
+
+    def stage(df, *by):
+        plans.append(plan(df))
+        moved.append({"grp", "text"} <= set(df.columns))
+        return write(df, *by)
+
+    monkeypatch.setattr(common, "stage", stage)
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(words[:i] + [f"new{i}"] + words[i + 1 :])) for i in range(0, 120, 5)]
+    rows += [(1000 + i, " ".join(words[i:] + [f"end{j}" for j in range(i)])) for i in range(0, 60, 12)] + [(2000, "some words that no other row has")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = minhash.distinct_documents(df, block=900)
+    plans.append(plan(kept))
+    want = {i for i, _, _, own in near_groups(rows) if own}
+    assert {r.doc_id for r in kept.collect()} == want and 3 < len(want) < len(rows)
+    assert sum(moved) == 1 and not any("Broadcast" in x for x in plans)
