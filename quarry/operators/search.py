@@ -96,7 +96,7 @@ def _scored(docs: Source, phrases: Sequence[Phrase], stemmed: bool) -> tuple[Dat
     if isinstance(docs, Index):
         found, counts = index.weighted(docs, phrases, stemmed)
         score = sum((_term(docs.rows, n, F.col(f"f{i}"), F.col("tokens"), docs.tokens) for i, n in enumerate(counts)), F.lit(0.0))
-        return found.where("active").withColumn("score", score), docs.length
+        return found.withColumn("score", score), docs.length
     docs = with_tokens(docs, stemmed)
 
     def counts(row: Column) -> Column:
@@ -130,13 +130,13 @@ def _scored(docs: Source, phrases: Sequence[Phrase], stemmed: bool) -> tuple[Dat
 
 
 def _shown(docs: Source, found: DataFrame, limit: int, per: str | None = None) -> DataFrame:
-    """Rows of ``found`` that can be among the ``limit`` best (of each ``per``), ties of
-    score and docid included, with path, title and context."""
+    """The ``limit`` best rows of ``found`` (of each ``per``), with title and context."""
     if not isinstance(docs, Index):
         return found
-    order = Window.partitionBy(*([per] if per else [])).orderBy(F.desc("score"), "docid")
-    near = found.withColumn("near", F.rank().over(order)).where(F.col("near") <= limit).drop("near")
-    return docs.documents.select("id", "path", "title", "context").join(near, "id")
+    order = Window.partitionBy(*([per] if per else [])).orderBy(F.desc("score"), "docid", "path")
+    near = found.withColumn("near", F.row_number().over(order)).where(F.col("near") <= limit).drop("near")
+    # A limited number of rows: the documents, with their titles, stay where they are.
+    return docs.documents.select("id", "title", "context").join(F.broadcast(near), "id")
 
 
 def length_factor(doc_len: Column, average: float, intended: bool = False) -> Column:
