@@ -236,10 +236,11 @@ def similar_chunks(chunks: DataFrame, query: Sequence[float]) -> DataFrame:
     return own.groupBy("hash").agg(F.max(F.col("dot") / (F.col("norm") * length)).alias("sim")).where("sim > 0")
 
 
-def one_document(docs: DataFrame) -> DataFrame:
-    """One active document for each hash, that with the first path."""
+def one_document(docs: DataFrame, *keep: str) -> DataFrame:
+    """One active document for each hash, that with the first path. Columns to ``keep``
+    are the same for all documents of a hash."""
     shown = F.min_by(F.struct("docid", "path", "title", "context"), F.struct("path", "id"))
-    return docs.where("active").groupBy("hash").agg(shown.alias("doc")).select("hash", "doc.*")
+    return docs.where("active").groupBy("hash", *keep).agg(shown.alias("doc")).select("hash", *keep, "doc.*")
 
 
 def vector_search(docs: Source, chunks: DataFrame, query: Sequence[float], collection: str | None = None, limit: int = LIMIT, min_score: float = 0.0) -> DataFrame:
@@ -250,7 +251,8 @@ def vector_search(docs: Source, chunks: DataFrame, query: Sequence[float], colle
     if collection:
         chunks = chunks.join(docs.where(F.col("active") & (F.col("collection") == collection)).select("hash").distinct(), "hash", "left_semi")
     top = similar_chunks(chunks, query).orderBy(F.desc("sim"), "hash").limit(limit)
-    found = one_document(docs).join(F.broadcast(top), "hash")
+    # Joined first, so that the titles of other documents are not moved.
+    found = one_document(docs.join(F.broadcast(top), "hash"), "sim")
     if min_score > 0:
         found = found.where(F.col("sim") >= min_score)
     order = Window.orderBy(F.desc("sim"), "hash")

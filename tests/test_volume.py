@@ -16,7 +16,7 @@ def stages(spark):
     return [found.apply(i) for i in range(found.size())]
 
 
-@pytest.mark.parametrize("name", ["bm25_porter_phrase"])
+@pytest.mark.parametrize("name", ["bm25_porter_phrase", "research_merge"])
 def test_moves_and_writes_little_more_than_the_input(spark, monkeypatch, name):
     """When postings were shuffled, bm25_and came to 20 times the input at sf0.1."""
     monkeypatch.setattr(adapter, "_indexes", {})
@@ -26,3 +26,9 @@ def test_moves_and_writes_little_more_than_the_input(spark, monkeypatch, name):
     moved = sum(s.shuffleWriteBytes() + s.diskBytesSpilled() for s in own)
     size = os.path.getsize(f"{SF}/documents.parquet")
     assert own and moved < size and moved + sum(s.outputBytes() for s in own) < 5 * size
+
+
+def test_titles_of_other_documents_are_not_moved(spark):
+    """The best contents are joined before documents are gathered by content."""
+    plan = catalogue.queries()["cosine_topk"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min_by" in plan and "BroadcastHashJoin" not in plan.split("partial_min_by")[0]
