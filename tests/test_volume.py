@@ -16,7 +16,7 @@ def stages(spark):
     return [found.apply(i) for i in range(found.size())]
 
 
-@pytest.mark.parametrize("name", ["bm25_porter_phrase", "research_merge", "bm25_inactive", "bm25_docid_zero", "bm25_porter", "hybrid_blend_stub"])
+@pytest.mark.parametrize("name", ["bm25_porter_phrase", "research_merge", "bm25_inactive", "bm25_docid_zero", "bm25_porter", "hybrid_blend_stub", "bm25_and"])
 def test_moves_and_writes_little_more_than_the_input(spark, monkeypatch, name):
     """When postings were shuffled, bm25_and came to 20 times the input at sf0.1."""
     monkeypatch.setattr(adapter, "_indexes", {})
